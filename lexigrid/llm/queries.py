@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.llm.near_duplicates import NearDuplicates
+from lexigrid.llm.splitting import split_oversized
+from lexigrid.llm.truncation import Truncation
 from lexigrid.session import table
 
 
@@ -23,5 +25,29 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return _duplicates(spark, d).groups().withColumnRenamed("id", "article_id")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_pieces(spark, d).where("piece_no = 1").select("article_id")
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_oversized(table(spark, d, "wikipedia"), "article_id", "text", 300, 30).withColumnRenamed("id", "article_id")
+
+
+def _cut_answers(spark: SparkSession, d: str) -> Truncation:
+    return Truncation(table(spark, d, "report"), "label_id", "teacher_raw", "source")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cut_answers(spark, d).rows.where("truncated").select(F.col("id").alias("label_id"))
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return _cut_answers(spark, d).rates()
+
+
+def p5_hazards(spark: SparkSession, d: str) -> DataFrame:
+    return _cut_answers(spark, d).hazards.where("significant")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
