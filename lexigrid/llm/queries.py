@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.functions.text import outer_trim
+from lexigrid.llm.leakage import leaks
 from lexigrid.llm.near_duplicates import NearDuplicates
 from lexigrid.llm.quota_sample import QuotaSample, passages
 from lexigrid.llm.split_overlap import SplitOverlap, latest_splits
@@ -89,5 +90,18 @@ def p5_hazards(spark: SparkSession, d: str) -> DataFrame:
     return _cut_answers(spark, d).hazards.where("significant")
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).where("kind in ('full', 'partial')").select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Every leak with its measures."""
+    return _leaks(spark, d)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
