@@ -24,7 +24,7 @@ from lexigrid.llm.shingles import slices
 
 BLOCK, BITS = 16, 13
 FEATURES = 1 << BITS
-RANK, OVERSAMPLED = 128, 144
+RANK, OVERSAMPLED = 96, 112
 _CHUNKS = 64
 _ROWS = 250
 
@@ -51,11 +51,11 @@ def passages(starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return np.flatnonzero(~last | only)
 
 
-def passage_vectors(words: np.ndarray, starts: np.ndarray, owner: np.ndarray, first: np.ndarray, basis: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Latent vectors of the passages: sums of weighted rows of ``basis`` over their words."""
+def passage_vectors(words: np.ndarray, starts: np.ndarray, owner: np.ndarray, first: np.ndarray, weighted: np.ndarray) -> np.ndarray:
+    """Latent vectors of the passages: sums over their words of a basis times the words' weights."""
     if not len(words):
-        return np.empty((0, basis.shape[1]), np.float32)
-    sums = np.add.reduceat(basis[words] * weight[words, None], starts, axis=0)
+        return np.empty((0, weighted.shape[1]), np.float32)
+    sums = np.add.reduceat(weighted[words], starts, axis=0)
     out = sums[first]
     paired = np.flatnonzero(first + 1 < len(owner))
     paired = paired[owner[first[paired]] == owner[first[paired] + 1]]
@@ -106,6 +106,7 @@ def latent_basis(texts: DataFrame, weight: np.ndarray, seed: int = 11) -> np.nda
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test, weight = sent.value
+        weighted = test * weight[:, None]
         total = np.zeros((FEATURES, OVERSAMPLED))
         for part in slices(batches, _ROWS):
             hashes, bounds = word_hashes(part.column("text").to_pylist())
@@ -113,7 +114,7 @@ def latent_basis(texts: DataFrame, weight: np.ndarray, seed: int = 11) -> np.nda
                 continue
             starts, owner = blocks(bounds)
             words, first = features(hashes), passages(starts, owner)
-            vectors = passage_vectors(words, starts, owner, first, test, weight)
+            vectors = passage_vectors(words, starts, owner, first, weighted)
             of_block = np.zeros((len(starts), OVERSAMPLED), np.float32)
             of_block[first] = vectors
             pair = first[(first + 1 < len(owner))]
@@ -156,12 +157,12 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class _Items:
     """What every task needs of a block of items; its size is bounded by the block."""
 
-    def __init__(self, ids: list, texts: list, shingle: int, basis: np.ndarray, weight: np.ndarray):
+    def __init__(self, ids: list, texts: list, shingle: int, weighted: np.ndarray):
         self.ids = np.array(ids)
         self.hashes, self.bounds = word_hashes(texts)
         self.starts, self.owner = blocks(self.bounds)
         self.first = passages(self.starts, self.owner)
-        self.vectors = unit(passage_vectors(features(self.hashes), self.starts, self.owner, self.first, basis, weight))
+        self.vectors = unit(passage_vectors(features(self.hashes), self.starts, self.owner, self.first, weighted))
         self.of = self.owner[self.first]
         # each item's first passage; items without words have none
         self.at = np.searchsorted(self.of, np.arange(len(ids)))
@@ -171,7 +172,7 @@ class _Items:
         self.grams, self.gram_item, self.n_grams = grams[order], item[order], np.diff(bounds)
 
 
-def _found(part: pa.RecordBatch, items: _Items, basis: np.ndarray, weight: np.ndarray, shingle: int, cosine: float, near: float, rare: float):
+def _found(part: pa.RecordBatch, items: _Items, weighted: np.ndarray, weight: np.ndarray, shingle: int, cosine: float, near: float, rare: float):
     hashes, bounds = word_hashes(part.column("text").to_pylist())
     n, m = part.num_rows, len(items.ids)
     starts, owner = blocks(bounds)
@@ -185,7 +186,7 @@ def _found(part: pa.RecordBatch, items: _Items, basis: np.ndarray, weight: np.nd
     for low in range(0, len(first), 2000):  # a part of the passages at a time, however long a text is
         some = first[low : low + 2000]
         a, b = some[0], min(some[-1] + 2, len(starts))
-        vectors = unit(passage_vectors(words[edges[a] : edges[b]], starts[a:b] - starts[a], owner[a:b], some - a, basis, weight))
+        vectors = unit(passage_vectors(words[edges[a] : edges[b]], starts[a:b] - starts[a], owner[a:b], some - a, weighted))
         score = vectors @ items.vectors.T
         top = np.full((len(some), m), -1.0, np.float32)
         top[:, full] = np.maximum.reduceat(score, items.at[full], axis=1)
@@ -251,7 +252,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_col: str, text_col: st
     asked = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[item_text_col].alias("text")).where("item_id is not null and text is not null")
     spark = documents.sparkSession
     weight = word_weights(texts.select("text"))
-    basis = latent_basis(texts.select("text"), weight)
+    weighted = latent_basis(texts.select("text"), weight) * weight[:, None]
     rare = float(np.log(rare_share_inverse))
     schema = "doc_id long, item_id long, cosine float, containment double, lcs double, answer double"
     parts = max(1, -(-asked.count() // block))
@@ -260,12 +261,12 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_col: str, text_col: st
         rows = asked.where(F.expr(f"pmod(xxhash64(item_id), {parts}) = {k}")).orderBy("item_id").collect()
         if not rows:
             continue
-        sent = spark.sparkContext.broadcast((_Items([r.item_id for r in rows], [r.text for r in rows], shingle, basis, weight), basis, weight))
+        sent = spark.sparkContext.broadcast((_Items([r.item_id for r in rows], [r.text for r in rows], shingle, weighted), weighted, weight))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items, basis, weight = sent.value
+            items, weighted, weight = sent.value
             for part in slices(batches, _ROWS):
-                docs, its, *values = _found(part, items, basis, weight, shingle, cosine, near, rare)
+                docs, its, *values = _found(part, items, weighted, weight, shingle, cosine, near, rare)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").take(pa.array(docs)), pa.array(items.ids[its], pa.int64()), pa.array(values[0], pa.float32()),
                      *[pa.array(v, pa.float64(), from_pandas=True) for v in values[1:]]],
