@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.functions.text import outer_trim
+from lexigrid.llm import abuse
 from lexigrid.llm.leakage import leaks
 from lexigrid.llm.near_duplicates import NearDuplicates
 from lexigrid.llm.quota_sample import QuotaSample, passages
@@ -103,5 +104,19 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
 
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    model = abuse.train(documents.select("doc_id", "text"), table(spark, d, "content_labels"))
+    return abuse.score_documents(documents, model)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_scores(spark, d).where("offends").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.source_rates(p8_scores(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
