@@ -11,6 +11,7 @@ from lexigrid.functions.text import outer_trim
 from lexigrid.llm import abuse
 from lexigrid.llm.leakage import leaks
 from lexigrid.llm.near_duplicates import NearDuplicates
+from lexigrid.llm.packing import Packing, token_counts
 from lexigrid.llm.quota_sample import QuotaSample, passages
 from lexigrid.llm.split_overlap import SplitOverlap, latest_splits
 from lexigrid.llm.splitting import split_oversized
@@ -91,6 +92,18 @@ def p5_hazards(spark: SparkSession, d: str) -> DataFrame:
     return _cut_answers(spark, d).hazards.where("significant")
 
 
+def _packing(spark: SparkSession, d: str) -> Packing:
+    return Packing(token_counts(table(spark, d, "documents"), "doc_id", "text"), table(spark, d, "containers"))
+
+
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    return _packing(spark, d).items.withColumnRenamed("id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return _packing(spark, d).fill()
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
 
