@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigrid.session import spread
+
 # Abbreviations that end no sentence.
 ABBREVIATIONS = frozenset(
     (
@@ -56,7 +58,7 @@ def chunk(df: DataFrame, keys: list[str], text_col: str, most: int = 300) -> Dat
 
     Null and blank texts, and texts without a whole sentence, have no rows.
     """
-    source = df.select(*keys, F.col(text_col).alias("text"))
+    source = spread(df.select(*keys, F.col(text_col).alias("text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keys).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

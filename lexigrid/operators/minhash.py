@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.functions.text import mix64
-from lexigrid.session import scratch
+from lexigrid.session import scratch, spread
 
 HASHES, BANDS, SHINGLE = 128, 16, 5
 _SPACE = re.compile(r"\s+")
@@ -86,7 +86,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "sig"])
 
     source = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    return source.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, sig binary")
+    return spread(source.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, "id long, sig binary")
 
 
 def dropped_by_first(edges: DataFrame) -> DataFrame:
