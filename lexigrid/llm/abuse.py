@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions.text import mix64
 from lexigrid.llm.shingles import slices
+from lexigrid.session import spread
 
 ORDERS = (3, 4, 5)
 BITS = 20
@@ -145,7 +146,7 @@ def _table_sum(rows: DataFrame, extract, columns: list[str]) -> tuple[np.ndarray
         return pd.DataFrame({"chunk": group["chunk"][:1], "part": [total.tobytes()], "units": [group["units"].sum()]})
 
     schema = "chunk int, part binary, units long"
-    found = rows.select(*columns).mapInArrow(count, schema).groupBy("chunk").applyInPandas(first, schema).orderBy("chunk").collect()
+    found = spread(rows.select(*columns)).mapInArrow(count, schema).groupBy("chunk").applyInPandas(first, schema).orderBy("chunk").collect()
     if not found:
         return np.zeros(BUCKETS, np.int64), 0
     return np.concatenate([np.frombuffer(r.part, np.int64) for r in found]), found[0].units
@@ -375,7 +376,7 @@ def score_documents(documents: DataFrame, model: Classifier, doc_col: str = "doc
 
     rows = documents.select(documents[doc_col].alias("doc_id"), documents[source_col].alias("source"), documents[text_col].alias("text"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, source {kinds['source']}, score double, n_flagged int, offends boolean")
+    return spread(rows).mapInArrow(run, f"doc_id {kinds['doc_id']}, source {kinds['source']}, score double, n_flagged int, offends boolean")
 
 
 def source_rates(scored: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions.text import batch_grams, distinct_grams, word_hashes
 from lexigrid.llm.shingles import slices
+from lexigrid.session import spread
 
 BLOCK, BITS = 16, 13
 FEATURES = 1 << BITS
@@ -249,6 +250,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_col: str, text_col: st
     named ones are ignored.
     """
     texts = documents.select(documents[doc_col].cast("long").alias("doc_id"), documents[text_col].alias("text")).where("doc_id is not null and text is not null")
+    texts = spread(texts)
     asked = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[item_text_col].alias("text")).where("item_id is not null and text is not null")
     spark = documents.sparkSession
     weight = word_weights(texts.select("text"))

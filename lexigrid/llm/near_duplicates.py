@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lexigrid.functions.text import distinct_grams, mix64, word_hashes
 from lexigrid.llm.shingles import exact_overlap, jaccard_at_least, slices
 from lexigrid.operators.components import connected_components
-from lexigrid.session import scratch
+from lexigrid.session import scratch, spread
 
 P, MANTISSA = 8, 10
 REGISTERS = 1 << P
@@ -192,6 +192,7 @@ class NearDuplicates:
     def __init__(self, df: DataFrame, id_col: str, text_col: str, shingle: int = 5, threshold: float = 0.8,
                  min_words: int = 10, band_rows: int = 4):
         texts = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")).where("id is not null and text is not null")
+        texts = spread(texts)
         self.threshold = threshold
         sigs = scratch(signatures(texts, shingle, min_words), "signatures")
         self.members = sigs.select("id", "digest").withColumn("rep", F.expr("min(id) over (partition by digest)")).select("id", "rep").distinct()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.llm.shingles import slices
-from lexigrid.session import scratch
+from lexigrid.session import scratch, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the public vocabulary splits text before merging.
@@ -41,7 +41,7 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VO
             counts = [len(coder.encode_ordinary(t)) if t else 0 for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts, pa.int32())], ["id", "n_tokens"])
 
-    rows = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
+    rows = spread(df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")))
     return rows.mapInArrow(run, "id long, n_tokens int")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from lexigrid.functions.text import WHITE
 from lexigrid.llm.shingles import slices
+from lexigrid.session import spread
 
 PARAGRAPH, LINE, SENTENCE, CLAUSE, COMMA, NONE = 5, 4, 3, 2, 1, 0
 _SPAN = re.compile(f"[^{WHITE}]+")
@@ -109,7 +110,7 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, limit: int = 300,
             columns = zip(*out) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    source = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    source = spread(df.select(df[id_col].alias("id"), df[text_col].alias("text")))
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(
         run, f"id {kind}, piece_no int, n_pieces int, first_word int, n_words int, cut_strength int, piece string"

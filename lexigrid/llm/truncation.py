@@ -20,7 +20,7 @@ from pyspark.sql.types import DoubleType
 
 from lexigrid.functions.text import WHITE
 from lexigrid.llm.shingles import slices
-from lexigrid.session import scratch
+from lexigrid.session import scratch, spread
 
 #: Endings. A doubtful one is a word or two without any end mark; it counts at significant lengths only.
 #: A list whose brackets don't match, but that ends with its own bracket, is malformed and closed.
@@ -87,6 +87,7 @@ def endings(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
         df[id_col].alias("id"), df[source_col].alias("source"), F.length(df[text_col]).alias("n_chars"),
         F.octet_length(df[text_col]).alias("n_bytes"), df[text_col].alias("text"),
     ).where(F.col("text").rlike(f"[^{WHITE}]"))
+    rows = spread(rows)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return rows.mapInArrow(run, f"id {kinds['id']}, source {kinds['source']}, n_chars int, n_bytes int, ending string")
 
