@@ -154,3 +154,21 @@ def weight_agreement(spark, d):
     x = triples(rows).select("id", "label_id", "r", "w", rules.key(F.col("s")).alias("s"), rules.key(F.col("t")).alias("t")).join(ends, "id")
     side = lambda which, name: x.where(f"label_id = {which}").groupBy("id", "s", "t", "r").agg(F.min("w").alias(name))
     return side("a", "gw").join(side("b", "pw"), ["id", "s", "t", "r"]).groupBy("id").agg(F.count("*").alias("n"), F.count_if(rules.weight_score(F.col("gw"), F.col("pw")) == 1.0).alias("close"))
+
+
+@query()
+def composite_scores(spark, d):
+    """Per passage: entities paired one to one by similarity, exact edges, and their weighted mean.
+
+    Measures without a denominator are left out and the others' weights scaled up.
+    """
+    gold, found = _two(spark, d)
+    pairs = pair_titles(_lists(spark, d), "optimal").groupBy("id").agg(F.count("*").alias("paired"), F.avg("score").alias("similarity"))
+    n = _matched(_entities(gold), _entities(found), ["id", "k"]).groupBy("id").agg(F.sum("g").alias("n_gold"), F.sum("p").alias("n_found"))
+    e = _matched(_edges(gold), _edges(found), ["id", "s", "t"]).groupBy("id").agg(F.sum("g").alias("e_gold"), F.sum(F.col("g") * F.col("p")).alias("e_both"))
+    rows = n.join(pairs, "id", "left").join(e, "id", "left").fillna(0, ["paired", "e_gold", "e_both"])
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    parts = [(0.3, share("paired", "n_gold")), (0.3, share("paired", "n_found")), (0.2, F.col("similarity")), (0.2, share("e_both", "e_gold"))]
+    total = sum(F.when(v.isNotNull(), w).otherwise(0.0) for w, v in parts)
+    score = sum(F.coalesce(v * w, F.lit(0.0)) for w, v in parts) / F.when(total > 0, total)
+    return rows.select("id", "n_gold", "n_found", "paired", "similarity", score.alias("score"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexigrid.functions import rules
 from lexigrid.functions.text import squeeze, word_count
 from lexigrid.operators import keep
+from lexigrid.operators import spans
 from lexigrid.operators.records import graph_records, parsed_answers
 from lexigrid.plans.corpus import squeezed
 from lexigrid.plans.registry import query
@@ -244,3 +245,13 @@ def review_queue(spark, d):
 def training_rows(spark, d):
     flat = squeeze(F.col("text"))
     return table(spark, d, "report").where("status = 'ok' and text is not null").select("label_id", F.length(flat).cast("long").alias("n_chars"), F.md5(flat).alias("input_md5"))
+
+
+@query()
+def field_token_counts(spark, d):
+    """Words of list answers by the field that they stand in and the tenth of the answer."""
+    rows = table(spark, d, "report").where(F.col("teacher_raw").startswith("["))
+    words = spans.word_places(rows, "label_id", "teacher_raw")
+    sizes = words.groupBy("id").agg(F.count("*").alias("n"))
+    marked = spans.labelled_tokens(words, spans.field_spans(rows, "label_id", "teacher_raw")).join(sizes, "id")
+    return marked.groupBy("field", F.least(F.floor(F.col("number") * 10 / F.col("n")), F.lit(9)).alias("tenth")).agg(F.count("*").alias("n_words"))

@@ -90,3 +90,21 @@ def test_nearest_is_exact(spark):
     for q in (0, 50, 100, 150):
         best = sorted(((-round(cos(rows[q][1], v), 9), k) for k, v in rows[:200] if k != q))[:3]
         assert [-s for s, _ in best] == [round(r.cosine, 9) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q]
+
+
+def test_tokens_by_field(spark):
+    from lexigrid.operators import spans
+
+    text = '[{"title": "Old Mill", "weight": 0.5}]'
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string")
+    found = spans.field_spans(df, "id", "text").orderBy("start").collect()
+    assert [(r.field, text[r.start : r.end]) for r in found] == [("title", "Old Mill"), ("weight", "0.5")]
+    marked = spans.labelled_tokens(spans.word_places(df, "id", "text"), spans.field_spans(df, "id", "text")).orderBy("number").collect()
+    assert [r.field for r in marked] == ["structural", "title", "title", "structural", "weight"]
+
+
+def test_differing_keys(spark):
+    from lexigrid.operators.spans import differing_keys
+
+    df = spark.createDataFrame([("a", 1, None, "x"), ("b", 1, 2, "y")], "name string, p int, q int, r string")
+    assert {r.key for r in differing_keys(df, "name", ["r"]).collect()} == {"q"}
