@@ -124,12 +124,14 @@ def band_pairs(bands: DataFrame, block: int = 512) -> DataFrame:
     blocks, and every two of its blocks meet in a join key of their own, so that no task gets
     a hot key whole.
     """
+    shared = bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     sized = (
-        bands.withColumn("members", F.expr("count(*) over (partition by key)"))
-        .where("members > 1")
+        bands.join(shared, "key")
         .withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
         .withColumn("blk", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+        .select("key", "id", "blocks", "blk")
     )
+    sized = scratch(sized, "bands")  # both sides of the join below
     left = sized.select("key", "id", F.col("blk").alias("lo"), F.explode(F.expr("sequence(blk, blocks - 1)")).alias("hi"))
     right = sized.select("key", F.col("id").alias("other"), F.explode(F.expr("sequence(0, blk)")).alias("lo"), F.col("blk").alias("hi"))
     return (
@@ -195,7 +197,8 @@ class NearDuplicates:
         texts = spread(texts)
         self.threshold = threshold
         sigs = scratch(signatures(texts, shingle, min_words), "signatures")
-        self.members = sigs.select("id", "digest").withColumn("rep", F.expr("min(id) over (partition by digest)")).select("id", "rep").distinct()
+        first = sigs.groupBy("digest").agg(F.min("id").alias("rep"))  # joined, so that a class of any size is spread
+        self.members = sigs.select("id", "digest").join(first, "digest").select("id", "rep").distinct()
         sigs = sigs.groupBy("digest").agg(F.min(F.struct("id", "n", "regs")).alias("least")).select("least.*")
 
         def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
