@@ -145,13 +145,19 @@ class Packing:
     item is divided. ``items``: ``(container_kind, container_id, id, piece_no, first_token,
     n_tokens)``. Items without tokens, and null or non-positive capacities, have no rows.
     Repeated rows are items of their own; kinds of the same name should have one capacity.
+    More than ``most_kinds`` of them are an error, since each takes every item.
     """
 
-    def __init__(self, sizes: DataFrame, containers: DataFrame):
+    def __init__(self, sizes: DataFrame, containers: DataFrame, most_kinds: int = 100):
         kinds = containers.where("capacity_tokens > 0").select("container_kind", F.col("capacity_tokens").alias("capacity")).distinct()
         sizes = scratch(sizes.select("id", "n_tokens").where("n_tokens > 0"), "sizes")
+        each = kinds.orderBy("container_kind", "capacity").limit(most_kinds + 1).collect()
+        if len(each) > most_kinds:
+            raise ValueError(f"more than {most_kinds} kinds of container")
+        named = [F.struct(F.lit(r.container_kind).cast("string").alias("container_kind"), F.lit(r.capacity).cast("int").alias("capacity")) for r in each]
+        named = F.array(*named) if named else F.lit(None).cast("array<struct<container_kind:string,capacity:int>>")
         pieces = (
-            sizes.join(F.broadcast(kinds))  # a row for each kind of container
+            sizes.select("*", F.inline(named))  # a row for each kind of container
             .withColumn("piece_no", F.explode(F.expr("sequence(1, cast(ceil(n_tokens / capacity) as int))")))
             .withColumn("first_token", F.expr("(piece_no - 1) * capacity"))
             .withColumn("size", F.expr("least(capacity, n_tokens - first_token)"))

@@ -100,13 +100,14 @@ class QuotaSample:
     def _cells(self) -> DataFrame:
         """Targets with the rows that each finds, its total and its need."""
         sizes = self.rows.groupBy("source", "words").agg(F.count("*").alias("n"))
-        eligible = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("eligible"))  # one row
+        eligible = self.rows.count()
         found = (
             self.targets.join(sizes, "source").where("words between min_words and max_words")
             .groupBy(_CELL).agg(F.sum("n").alias("available"))
         )
         return (
-            self.targets.join(found, _CELL, "left").fillna(0, ["available"]).join(F.broadcast(eligible))
+            self.targets.join(found, _CELL, "left").fillna(0, ["available"])
+            .withColumn("eligible", F.lit(eligible).cast("long"))
             .withColumn("total", F.expr("eligible * sample_pct div 100"))
             .withColumn("need", F.expr("greatest(cast(min_rows as long), total * share_pct div 100)"))
             .withColumn("short", F.expr("available < need"))
