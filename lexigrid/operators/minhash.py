@@ -127,7 +127,9 @@ def keep_first_near_duplicates(df: DataFrame, id_col: str, text_col: str, thresh
                 [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column("id").to_numpy(), BANDS))], ["key", "id"]
             )
 
-    keyed = first.mapInArrow(bands, "key long, id long").withColumn("n", F.expr("count(*) over (partition by key)")).where("n > 1")
+    keyed = first.mapInArrow(bands, "key long, id long")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    keyed = scratch(keyed.join(shared, "key"), "bands")
     pairs = keyed.select("key", F.col("id").alias("lo")).join(keyed.select("key", F.col("id").alias("hi")), "key").where("lo < hi").select("lo", "hi").distinct()
     joined = pairs.join(first.select(F.col("id").alias("lo"), F.col("sig").alias("a")), "lo").join(first.select(F.col("id").alias("hi"), F.col("sig").alias("b")), "hi")
 
