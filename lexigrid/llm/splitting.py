@@ -30,9 +30,9 @@ def strengths(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
     out = np.zeros(max(len(spans) - 1, 0), np.int64)
     for k, ((start, end), (following, _)) in enumerate(zip(spans, spans[1:])):
         if following - end > 1 or text[end] != " ":
-            breaks = len(text[end:following].replace("\r\n", "\n").splitlines()) - (text[following - 1] not in "\n\r\x0b\x0c\x85  ")
+            breaks = len(text[end:following].replace("\r\n", "\n").splitlines()) - (text[following - 1] not in "\n\r\x0b\x0c\x85\u2028\u2029")
             if breaks > 0:
-                out[k] = PARAGRAPH if breaks > 1 or " " in text[end:following] else LINE
+                out[k] = PARAGRAPH if breaks > 1 or "\u2029" in text[end:following] else LINE
                 continue
         last = text[end - 1]
         if last in _CLOSERS:
