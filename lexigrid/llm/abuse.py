@@ -224,8 +224,12 @@ class _Bag:
         self.edge = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]) if lengths else np.zeros(1, np.int64)
 
     def logits(self, weight: np.ndarray, bias: float) -> np.ndarray:
-        sums = np.concatenate([[0.0], np.cumsum(weight[self.bucket], dtype=np.float64)])
-        return sums[self.edge[1:]] - sums[self.edge[:-1]] + bias
+        out = np.empty(len(self.edge) - 1)
+        for low in range(0, len(out), 4096):  # a part at a time, to keep the driver small
+            edge = self.edge[low : low + 4097]
+            sums = np.concatenate([[0.0], np.cumsum(weight[self.bucket[edge[0] : edge[-1]]], dtype=np.float64)])
+            out[low : low + 4096] = np.diff(sums[edge - edge[0]])
+        return out + bias
 
     def worst(self, z: np.ndarray) -> np.ndarray:
         out = np.full(len(self.y), -99.0)
