@@ -4,15 +4,16 @@ Word n-gram hashes of the evaluation records are partitioned together with those
 training records; a scan for hits gives the pairs that are compared in full, by containment
 of the evaluation record in the training record and by Jaccard similarity.
 
-Which n-grams of a text are hashed follows from a window over its text: of each few
-consecutive n-grams the least is taken, rare ones before frequent ones, so that two texts with
-any long enough run of words in common meet. Short texts take all n-grams of fewer words.
-What is frequent tells a table of counters whose size is fixed, summed over all texts.
+Of a text with ``n`` distinct n-grams only the first ``n - ceil(threshold * n) + 1`` in an order
+common to all texts are hashed (prefix filter): two sets that are alike enough always have one
+of these in common, whatever the order. Rare ones come first, which a table of counters whose
+size is fixed tells; it decides what the search costs and never what it finds.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,74 +22,78 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.functions.text import batch_grams, folded_words, mix64, word_hashes
+from lexigrid.functions.text import batch_grams, distinct_grams, folded_words, mix64, word_hashes
 from lexigrid.llm.shingles import exact_overlap, jaccard_at_least, slices
 from lexigrid.session import scratch, spread
 
-CELLS = 1 << 18
-_CHUNK = 1 << 12
-#: (words of an n-gram, n-grams of a window, fewest words of a text, most words of a text)
-LEVELS = ((8, 6, 40, None), (3, 1, 0, 80))
+CELLS = 1 << 22
+_CHUNK = 1 << 16
+#: Bits of an n-gram's hash that are kept.
+_BITS = 48
+#: Texts of a frequent n-gram that meet in one join key.
+BLOCK = 512
+#: Hits that a pair must have, where its n-grams allow for so many.
+HITS = 4
 
 
-def _level_grams(hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For each level: its number, its window, and the n-grams with their owners of the texts it is for."""
-    sizes = np.diff(bounds)
-    for k, (n, window, fewest, most) in enumerate(LEVELS):
-        grams, owner = batch_grams(hashes, bounds, n)
-        right = sizes >= fewest if most is None else (sizes >= fewest) & (sizes <= most)
-        right = right[owner]
-        yield k, window, mix64(grams[right] + np.uint64(k + 1)), owner[right]
+def _cell(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(_BITS - CELLS.bit_length() + 1)).astype(np.int64)
 
 
-def _cell(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+def _kept_bits(grams: np.ndarray) -> np.ndarray:
+    return mix64(grams) >> np.uint64(64 - _BITS)
 
 
-def frequency_table(texts: DataFrame) -> np.ndarray:
-    """How often n-grams of each of ``CELLS`` cells occur in all texts: a megabyte, whatever the input."""
+def frequency_table(texts: DataFrame, n: int) -> np.ndarray:
+    """How often ``n``-grams of each of ``CELLS`` cells occur in all texts: 16 megabytes, whatever the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(CELLS, np.int64)
+        table = np.zeros(CELLS, np.int32)
         for part in slices(batches):
-            for _, _, grams, _ in _level_grams(*word_hashes(part.column("text").to_pylist())):
-                table += np.bincount(_cell(grams), minlength=CELLS)
+            grams, _ = batch_grams(*word_hashes(part.column("text").to_pylist()), n)
+            np.add.at(table, _cell(_kept_bits(grams)), 1)
         chunks = table.reshape(-1, _CHUNK)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())], ["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in chunks], pa.binary())], ["chunk", "counts"])
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, np.int64) for c in parts["counts"])
-        return pd.DataFrame({"chunk": parts["chunk"][:1], "counts": [total.tobytes()]})
+        total = np.zeros(_CHUNK, np.int64)
+        for c in parts["counts"]:
+            total += np.frombuffer(zlib.decompress(c), np.int32)
+        return pd.DataFrame({"chunk": parts["chunk"][:1], "counts": [zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)]})
 
     schema = "chunk int, counts binary"
     rows = texts.select("text").mapInArrow(count, schema).groupBy("chunk").applyInPandas(add, schema).orderBy("chunk").collect()
-    return np.concatenate([np.frombuffer(r.counts, np.int64) for r in rows]) if rows else np.zeros(CELLS, np.int64)
-
-
-def chosen_grams(grams: np.ndarray, owner: np.ndarray, window: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the n-grams that a text is looked up by."""
-    if not len(grams):
-        return np.empty(0, np.int64), owner
-    often = frequent[_cell(grams)]
-    key = (grams >> np.uint64(1)) | (often.astype(np.uint64) << np.uint64(63))
-    if window > 1 and len(grams) >= window:
-        least = np.lib.stride_tricks.sliding_window_view(key, window).argmin(axis=1) + np.arange(len(key) - window + 1)
-        least = least[owner[: len(least)] == owner[window - 1 :]]
-    else:
-        least = np.arange(len(grams)) if window == 1 else np.empty(0, np.int64)
-    counts = np.bincount(owner)
-    small = np.flatnonzero((counts > 0) & (counts < window))
-    lone = [int(k + key[k : k + c].argmin()) for k, c in zip(np.searchsorted(owner, small), counts[small])]
-    places = np.unique(np.concatenate([least, np.array(lone, np.int64)]))
-    rare = np.zeros(len(counts), bool)
-    rare[owner[places[~often[places]]]] = True
-    # a text without a rare one keeps what it has
-    places = places[~often[places] | ~rare[owner[places]]]
-    first = np.lexsort((places, grams[places], owner[places]))
-    places = places[first]
-    fresh = np.ones(len(places), bool)
-    fresh[1:] = (grams[places[1:]] != grams[places[:-1]]) | (owner[places[1:]] != owner[places[:-1]])
-    return places[fresh], owner
+    return np.concatenate([np.frombuffer(zlib.decompress(r.counts), np.int32) for r in rows]) if rows else np.zeros(CELLS, np.int32)
+
+
+def prefixes(texts: list[str | None], n: int, thousandths: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams that texts are looked up by, rare ones first; where each text's begin; how many distinct ones it has."""
+    hashes, bounds = word_hashes(texts)
+    grams, starts = distinct_grams(hashes, bounds, n)
+    sizes = np.diff(starts)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    grams = _kept_bits(grams)
+    order = np.lexsort((grams, counts[_cell(grams)], owner))
+    kept = sizes - (thousandths * sizes + 999) // 1000 + (sizes > 0)
+    place = np.arange(len(grams)) - starts[owner]
+    edges = np.concatenate([[0], np.cumsum(kept)])
+    return grams[order][place < kept[owner]], edges, sizes
+
+
+def join_keys(grams: np.ndarray, ids: np.ndarray, counts: np.ndarray, typical: int, held: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A join key per n-gram, or as many as it has blocks, and the place of its n-gram.
+
+    The texts of a frequent n-gram are dealt to blocks, and every block of evaluation records
+    meets every block of training records under a key of their own. A cell holds ``typical``
+    n-grams by chance; what is above that may be one n-gram's.
+    """
+    many = 1 + np.maximum(counts[_cell(grams)].astype(np.int64) - typical, 0) // BLOCK
+    at = np.repeat(np.arange(len(grams)), many)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+    own = (mix64(ids.astype(np.uint64)) % many.astype(np.uint64)).astype(np.int64)[at]
+    lo, hi = (own, other) if held else (other, own)
+    salted = mix64(grams[at] + mix64((lo << 32 | hi).astype(np.uint64) + np.uint64(1))) >> np.uint64(64 - _BITS)
+    return np.where(many[at] > 1, salted, grams[at]).astype(np.int64), at
 
 
 class SplitOverlap:
@@ -102,30 +107,23 @@ class SplitOverlap:
     one). Null texts are empty ones. Null ids have no rows. Equal texts are searched for once.
 
     ``pairs``: ``(eval_id, train_id, split, reason, containment, similarity)``; the last two
-    are 1 for equal sets and null for titles. Of one selected n-gram's records at least
-    ``hit_share`` of the smaller selection must be hits before a pair is compared in full.
+    are 1 for equal sets and null for titles. Every pair is found, up to collisions of 48-bit
+    hashes: hits only rule out pairs that can't be alike enough, whatever their other n-grams.
     """
 
     def __init__(self, df: DataFrame, splits: DataFrame, id_col: str, text_col: str, title_col: str, shingle: int = 5,
-                 threshold: float = 0.8, min_words: int = 10, frequent: int = 64, hit_share: float = 0.1):
+                 threshold: float = 0.8, min_words: int = 10):
         spark = df.sparkSession
         source = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"), df[title_col].alias("title")).where("id is not null")
         source = spread(source)
-        table = frequency_table(source)
-        # a cell holds many n-grams by chance when the input is large; more than that is frequent
-        mean = table.mean()
-        often = spark.sparkContext.broadcast(table > mean + max(frequent, 6 * mean**0.5))
+        thousandths = round(threshold * 1000)
+        counts = frequency_table(source, shingle)
+        sent = spark.sparkContext.broadcast((counts, int(np.median(counts))))
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches):
                 hashes, bounds = word_hashes(part.column("text").to_pylist())
                 sizes = np.diff(bounds)
-                found: list[list] = []
-                for _, window, grams, owner in _level_grams(hashes, bounds):
-                    places, owner = chosen_grams(grams, owner, window, often.value)
-                    at = np.searchsorted(owner[places], np.arange(len(sizes) + 1))
-                    values = (grams[places] >> np.uint64(16)).astype(np.int64)
-                    found.append([values[a:b] if s >= min_words else None for a, b, s in zip(at, at[1:], sizes)])
                 short, sets, b = mix64(hashes), [], bounds
                 for k, s in enumerate(sizes):
                     sets.append(hashlib.blake2b(short[b[k] : b[k + 1]].tobytes(), digest_size=12).digest() if s >= min_words else None)
@@ -133,12 +131,32 @@ class SplitOverlap:
                 for s, title in zip(sizes, part.column("title").to_pylist()):
                     name = b" ".join(folded_words(title)) if s < min_words and title else b""
                     titles.append(hashlib.blake2b(name, digest_size=12).digest() if name else None)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary()), pa.array(titles, pa.binary())], ["id", "digest", "title_key"])
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches):
+                grams, edges, sizes = prefixes(part.column("text").to_pylist(), shingle, thousandths, sent.value[0])
+                packed = np.ascontiguousarray(grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _BITS // 8])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(sets, pa.binary()), pa.array(titles, pa.binary()), *[pa.array(f, pa.list_(pa.int64())) for f in found]],
-                    ["id", "digest", "title_key", "long_grams", "short_grams"],
+                    [part.column("id"), pa.array(sizes, pa.int32()), pa.array([packed[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())], ["id", "n", "grams"]
                 )
 
-        looked = source.mapInArrow(look, "id long, digest binary, title_key binary, long_grams array<long>, short_grams array<long>")
+        def keys(held: bool):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for part in slices(batches):
+                    texts = part.column("grams").to_pylist()
+                    kept = np.fromiter((len(t) * 8 // _BITS for t in texts), np.int64, len(texts))
+                    grams = np.zeros((kept.sum(), 8), np.uint8)
+                    grams[:, : _BITS // 8] = np.frombuffer(b"".join(texts), np.uint8).reshape(-1, _BITS // 8)
+                    ids = np.repeat(part.column("id").to_numpy(), kept)
+                    sizes = np.repeat(part.column("n").to_numpy().astype(np.int64), kept)
+                    place = np.arange(len(ids)) - np.repeat(np.cumsum(kept) - kept, kept)
+                    key, at = join_keys(grams.view("<u8").ravel(), ids, *sent.value, held)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[at]), pa.array((sizes << 32 | place)[at])], ["gram", "id", "at"])
+
+            return run
+
+        looked = source.mapInArrow(look, "id long, digest binary, title_key binary")
         self.records = scratch(
             looked.where("digest is not null or title_key is not null")
             .join(splits.select(F.col("id").cast("long").alias("id"), "split").where("split is not null"), "id"), "records",
@@ -146,20 +164,27 @@ class SplitOverlap:
         texts = self.records.where("digest is not null")
         first = texts.groupBy("digest").agg(F.min("id").alias("rep"))  # joined, so that a class of any size is spread
         self.members = texts.select("id", "split", "digest").join(first, "digest").select("id", "split", "rep")
-        reps = (
-            self.records.where("digest is not null").groupBy("digest")
-            .agg(F.min(F.struct("id", "long_grams", "short_grams")).alias("x"), F.bool_or(F.expr("split = 'train'")).alias("train"), F.bool_or(F.expr("split <> 'train'")).alias("held"))
-            .select("x.*", "train", "held")
+        reps = texts.groupBy("digest").agg(
+            F.min("id").alias("id"), F.bool_or(F.expr("split = 'train'")).alias("train"), F.bool_or(F.expr("split <> 'train'")).alias("held")
         )
-        grams = reps.select(
-            "id", "train", "held",
-            F.expr("inline(array(struct(long_grams as grams, size(long_grams) as n), struct(short_grams as grams, -size(short_grams) as n)))"),
-        ).select("id", "train", "held", "n", F.explode("grams").alias("gram"))
-        held = grams.where("held").select("gram", F.col("id").alias("id_a"), F.col("n").alias("a"))
-        train = grams.where("train").select("gram", F.col("id").alias("id_b"), F.col("n").alias("b"))
+        grams = source.where("text is not null").select("id", "text").mapInArrow(cut, "id long, n int, grams binary")
+        sides = [
+            grams.join(reps.where("train" if end == "b" else "held").select("id"), "id").select("id", "n", "grams")
+            .mapInArrow(keys(end == "a"), "gram long, id long, at long").select("gram", F.col("id").alias(f"id_{end}"), F.col("at").alias(f"at_{end}"))
+            for end in "ab"
+        ]
+        # of the n-grams that a pair must share, the first ``least_hits`` stand in the first n - must + least_hits of both texts
         hits = (
-            held.join(train, "gram").where("id_a <> id_b and signum(a) = signum(b)").groupBy("id_a", "id_b", "a", "b").agg(F.count("*").alias("hits"))
-            .where(F.expr(f"hits >= {hit_share} * least(abs(a), abs(b))")).select("id_a", "id_b").distinct()
+            sides[0].join(sides[1], "gram").where("id_a <> id_b")
+            .withColumns({"n_a": F.expr("at_a >> 32"), "n_b": F.expr("at_b >> 32"), "place_a": F.expr("at_a & 4294967295L"), "place_b": F.expr("at_b & 4294967295L")})
+            .where(f"least(n_a, n_b) * 1000L >= {thousandths}L * greatest(n_a, n_b)")
+            .withColumn("must", F.expr(f"({thousandths}L * (n_a + n_b) + {999 + thousandths}) div {1000 + thousandths}"))
+            .withColumn("least_hits", F.expr(f"least({HITS}, must, must + 1 - ({thousandths}L * greatest(n_a, n_b) + 999) div 1000)"))
+            .where("place_a < n_a - must + least_hits and place_b < n_b - must + least_hits")
+            .groupBy("id_a", "id_b", F.expr("n_a << 32 | n_b").alias("sizes"), F.expr("must << 3 | least_hits").alias("needs"))
+            .agg(F.count("*").alias("hits"), F.max(F.expr("place_a - n_a")).alias("rest_a"), F.max(F.expr("place_b - n_b")).alias("rest_b"))
+            # what can still be shared after the last hits
+            .where("hits >= needs & 7 and hits + least(-1 - rest_a, -1 - rest_b) >= needs >> 3").select("id_a", "id_b").distinct()
         )
         hits = scratch(hits, "hits")
         compared = exact_overlap(hits, source.where("text is not null").select("id", "text"), shingle)

@@ -188,6 +188,33 @@ def test_split_overlap_against_brute_force(spark):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+def overlaps(spark, rows):
+    """Found and true pairs of ``(id, text)`` rows whose even ids are for training."""
+    df = spark.createDataFrame([(k, t, None) for k, t in rows], "doc long, body string, name string")
+    split = spark.createDataFrame([(k, "test" if k % 2 else "train") for k, _ in rows], "id long, split string")
+    pairs = [(min(r.eval_id, r.train_id), max(r.eval_id, r.train_id)) for r in SplitOverlap(df, split, "doc", "body", "name", 3, 0.5).pairs.collect()]
+    assert len(pairs) == len(set(pairs))
+    return set(pairs), {p for p in similar(rows, 3, 0.5) if (p[0] + p[1]) % 2}
+
+
+def test_split_overlap_of_reordered_and_evenly_edited_texts(spark):
+    rng = random.Random(31)
+    rows = []
+    for k in range(30):
+        units = [[rng.choice(VOCABULARY) for _ in range(8)] for _ in range(15 + 4 * k)]
+        other = [list(u) for u in units]
+        if k % 3:
+            rng.shuffle(other)
+        else:
+            for u in other:
+                u[4] = "other"
+        rows += [(2 * k, " ".join(w for u in units for w in u)), (2 * k + 1, " ".join(w for u in other for w in u))]
+    some = " ".join(rng.choice(VOCABULARY) for _ in range(36))
+    rows += [(100, some), (101, " ".join([some] * 3))]  # few words, repeated to many
+    found, want = overlaps(spark, rows)
+    assert found == want and len(want) > 20
+
+
 def test_split_overlap_of_nothing(spark):
     df = spark.createDataFrame([], "doc long, body string, name string")
     assert SplitOverlap(df, spark.createDataFrame([], "id long, split string"), "doc", "body", "name").pairs.count() == 0
