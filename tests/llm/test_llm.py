@@ -215,6 +215,30 @@ def test_split_overlap_of_reordered_and_evenly_edited_texts(spark):
     assert found == want and len(want) > 20
 
 
+def test_split_overlap_of_a_family_of_versions(spark):
+    rng = random.Random(32)
+    text = [rng.choice(VOCABULARY) for _ in range(60)]
+    versions = []
+    for k in range(150):
+        w = list(text)
+        for at in rng.sample(range(60), 3):
+            w[at] = f"own{k}x{at}"
+        versions.append((k, " ".join(w)))
+    found, want = overlaps(spark, versions + [(200, " ".join(text)), (201, " ".join(text))])
+    assert found == want and len(want) > 4000
+
+
+def test_split_overlap_deals_frequent_grams_to_blocks(monkeypatch):
+    from lexigrid.llm import split_overlap
+
+    monkeypatch.setattr(split_overlap, "BLOCK", 3)
+    counts, ids = np.full(split_overlap.CELLS, 20, np.int32), np.arange(50, dtype=np.int64)
+    one = np.full(50, 12345, np.uint64)
+    sides = [list(zip(*split_overlap.join_keys(one, ids, counts, 2, held))) for held in (True, False)]
+    met = [(a, b) for x, a in sides[0] for y, b in sides[1] if x == y]
+    assert len(met) == len(set(met)) == 2500 and len({x for x, _ in sides[0]}) == 49
+
+
 def test_split_overlap_of_nothing(spark):
     df = spark.createDataFrame([], "doc long, body string, name string")
     assert SplitOverlap(df, spark.createDataFrame([], "id long, split string"), "doc", "body", "name").pairs.count() == 0
