@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions.text import mix64
 from lexigrid.llm.shingles import slices
-from lexigrid.session import spread
+from lexigrid.session import scratch, spread
 
 ORDERS = (3, 4, 5)
 BITS = 20
@@ -129,16 +129,16 @@ def document_labels(labels: DataFrame) -> DataFrame:
     return votes.where("votes <> 0").select("doc_id", F.expr("votes > 0").alias("offends"))
 
 
-def _table_sum(rows: DataFrame, extract, columns: list[str]) -> tuple[np.ndarray, int]:
-    """Sum of bucket counts over all rows, in pieces, and of how many units were counted."""
+def _table_sum(rows: DataFrame, extract, columns: list[str], tables: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of bucket counts over all rows, in pieces, and of how many units were counted, for each table."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, units, tokens = np.zeros(BUCKETS, np.int32), 0, Tokens()
+        total, units, tokens = np.zeros((tables, BUCKETS), np.int32), np.zeros(tables, np.int64), Tokens()
         for part in slices(batches, _ROWS):
             units += extract(part, tokens, total)
-        pieces = [c.tobytes() for c in np.split(total, _CHUNKS)]
+        pieces = [c.tobytes() for c in np.split(total.ravel(), tables * _CHUNKS)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(_CHUNKS), pa.int32()), pa.array(pieces, pa.binary()), pa.array([units] * _CHUNKS, pa.int64())], ["chunk", "part", "units"]
+            [pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary()), pa.array(np.repeat(units, _CHUNKS), pa.int64())], ["chunk", "part", "units"]
         )
 
     def first(group: pd.DataFrame) -> pd.DataFrame:
@@ -148,8 +148,8 @@ def _table_sum(rows: DataFrame, extract, columns: list[str]) -> tuple[np.ndarray
     schema = "chunk int, part binary, units long"
     found = spread(rows.select(*columns)).mapInArrow(count, schema).groupBy("chunk").applyInPandas(first, schema).orderBy("chunk").collect()
     if not found:
-        return np.zeros(BUCKETS, np.int64), 0
-    return np.concatenate([np.frombuffer(r.part, np.int64) for r in found]), found[0].units
+        return np.zeros((tables, BUCKETS), np.int64), np.zeros(tables, np.int64)
+    return np.concatenate([np.frombuffer(r.part, np.int64) for r in found]).reshape(tables, BUCKETS), np.array([r.units for r in found[::_CHUNKS]])
 
 
 def corpus_counts(documents: DataFrame) -> tuple[np.ndarray, int]:
@@ -158,22 +158,65 @@ def corpus_counts(documents: DataFrame) -> tuple[np.ndarray, int]:
     def extract(part: pa.RecordBatch, tokens: Tokens, total: np.ndarray) -> int:
         flat = [s for t in part.column("text").to_pylist() if t for s in sentences(t, tokens)]
         for low in range(0, len(flat), 4000):
-            total += np.bincount(sentence_features(flat[low : low + 4000])[0], minlength=BUCKETS).astype(np.int32)
+            total[0] += np.bincount(sentence_features(flat[low : low + 4000])[0], minlength=BUCKETS).astype(np.int32)
         return len(flat)
 
-    return _table_sum(documents, extract, ["text"])
+    counts, units = _table_sum(documents, extract, ["text"])
+    return counts[0], int(units[0])
 
 
-def offending_counts(labelled: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many documents labelled as offending each bucket occurs, and how many there are."""
+def offending_counts(labelled: DataFrame, folds: int) -> tuple[np.ndarray, np.ndarray]:
+    """In how many documents of each fold labelled as offending each bucket occurs, and how many there are."""
+
+    def extract(part: pa.RecordBatch, tokens: Tokens, total: np.ndarray) -> np.ndarray:
+        own = part.column("fold").to_pylist()
+        for text, fold in zip(part.column("text").to_pylist(), own):
+            total[fold, np.unique(sentence_features(sentences(text, tokens))[0])] += 1
+        return np.bincount(own, minlength=folds)
+
+    return _table_sum(labelled.where("offends"), extract, ["text", "fold"], folds)
 
-    def extract(part: pa.RecordBatch, tokens: Tokens, total: np.ndarray) -> int:
-        texts = part.column("text").to_pylist()
-        for text in texts:
-            total[np.unique(sentence_features(sentences(text, tokens))[0])] += 1
-        return len(texts)
 
-    return _table_sum(labelled.where("offends"), extract, ["text"])
+def sentence_counts(labelled: DataFrame, models: list[tuple[np.ndarray, float, float, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each model, in how many distinct offending sentences of all labelled documents each bucket occurs, and how many there are.
+
+    A model is ``(weight, bias, limit, by_length)``: offending are the sentences of offending
+    documents that score above the limit, by the root of their number of n-grams if so wanted,
+    or each document's worst one where the limit is NaN. Model ``k`` leaves fold ``k`` out.
+    """
+    sent = labelled.sparkSession.sparkContext.broadcast(models)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for part in slices(batches, _ROWS):
+            per = [sentences(t, tokens) for t in part.column("text").to_pylist()]
+            doc = np.repeat(np.arange(len(per)), [len(p) for p in per])
+            fold = part.column("fold").to_numpy()[doc]
+            flat = [s for p in per for s in p]
+            buckets, owner = sentence_features(flat)
+            root = np.sqrt(np.maximum(np.bincount(owner, minlength=len(flat)), 1))
+            mask = np.zeros(len(flat), np.int64)
+            for k, (weight, bias, limit, by_length) in enumerate(sent.value):
+                z = np.bincount(owner, weight[buckets], len(flat)) + bias
+                if by_length:
+                    z = z / root
+                worst = np.full(len(per), -np.inf)
+                np.maximum.at(worst, doc, z)
+                mask |= (((z >= worst[doc]) if np.isnan(limit) else (z > limit)) & (fold != k)).astype(np.int64) << k
+            chosen = np.flatnonzero(mask)
+            yield pa.RecordBatch.from_arrays([pa.array([flat[j] for j in chosen], pa.string()), pa.array(mask[chosen])], ["sentence", "mask"])
+
+    def extract(part: pa.RecordBatch, tokens: Tokens, total: np.ndarray) -> np.ndarray:
+        mask = part.column("mask").to_numpy()
+        buckets, owner = sentence_features(part.column("sentence").to_pylist())
+        own = np.unique(owner * BUCKETS + buckets)
+        has = mask[:, None] >> np.arange(len(total)) & 1
+        for k in range(len(total)):
+            total[k] += np.bincount(own[has[own // BUCKETS, k] > 0] % BUCKETS, minlength=BUCKETS).astype(np.int32)
+        return has.sum(axis=0)
+
+    found = labelled.where("offends").select("text", "fold").mapInArrow(choose, "sentence string, mask long")
+    return _table_sum(found.groupBy("sentence").agg(F.bit_or("mask").alias("mask")), extract, ["sentence", "mask"], len(models))
 
 
 def log_ratios(bad: np.ndarray, n_bad: int, corpus: np.ndarray, n_corpus: int, prior: float = 10.0) -> np.ndarray:
@@ -236,17 +279,6 @@ class _Bag:
         np.maximum.at(out, self.doc, z)
         return out
 
-    def counts(self, rows: np.ndarray) -> np.ndarray:
-        """Distinct sentences among ``rows`` with each bucket."""
-        sizes = self.edge[rows + 1] - self.edge[rows]
-        at = np.repeat(self.edge[rows], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        row = np.repeat(np.arange(len(rows)), sizes)
-        whole = np.bincount(row, mix64(self.bucket[at].astype(np.uint64)) >> np.uint64(24), len(rows))
-        fresh = np.zeros(len(rows), bool)
-        fresh[np.unique(whole, return_index=True)[1]] = True  # a sentence that was copied counts once
-        own = np.unique((row * BUCKETS + self.bucket[at])[fresh[row]])
-        return np.bincount(own % BUCKETS, minlength=BUCKETS)
-
 
 def _regression(bag: _Bag, rows: np.ndarray, target: np.ndarray, ratio: np.ndarray, epochs: int, l2: float, rng: np.random.Generator) -> tuple[np.ndarray, float]:
     """Logistic regression on features times their ratios, by adaptive gradient steps."""
@@ -279,11 +311,12 @@ def _regression(bag: _Bag, rows: np.ndarray, target: np.ndarray, ratio: np.ndarr
     return v * ratio, float(bias)
 
 
-def _fit(bag: _Bag, docs: np.ndarray, start: np.ndarray, corpus: np.ndarray, n_corpus: int, rounds: int = 3, epochs: int = 6, l2: float = 3e-4) -> tuple[np.ndarray, float]:
+def _fit(bag: _Bag, docs: np.ndarray, start: np.ndarray, corpus: np.ndarray, n_corpus: int, rounds: int = 3, epochs: int = 6, l2: float = 3e-4) -> Generator[tuple, tuple, tuple[np.ndarray, float]]:
     """Find the offending sentences of offending documents and fit on them, in turns.
 
     Sentences of offending documents are positive when they score above nearly all harmless
-    documents' worst; documents without such a one are held to be mislabelled and left out.
+    documents' worst; documents without such a one are held to be mislabelled and left out. Each turn yields
+    ``(weight, bias, limit, by_length)`` and is sent the counts of ``sentence_counts`` for it.
     """
     rng = np.random.default_rng(5)
     used, bad = docs[bag.doc], bag.y[bag.doc]
@@ -295,10 +328,12 @@ def _fit(bag: _Bag, docs: np.ndarray, start: np.ndarray, corpus: np.ndarray, n_c
         limit = float(np.quantile(harmless, 0.96)) if len(harmless) else 0.0
         positive = bad & (z > limit)
         if not (used & positive).any():
+            limit = np.nan
             positive = bad & (z >= worst[bag.doc])
-        keep = used & (positive | (~bad & ((z < 2 * abs(limit) + limit) | (k == 0))))
-        chosen = np.flatnonzero(used & positive)
-        ratio = log_ratios(bag.counts(chosen), len(chosen), corpus, n_corpus)
+        least = float(np.quantile(harmless, 0.96)) if len(harmless) else 0.0
+        keep = used & (positive | (~bad & ((z < 2 * abs(least) + least) | (k == 0))))
+        counts, n_counted = yield weight.astype(np.float32), bias, limit, k == 0
+        ratio = log_ratios(counts, int(n_counted), corpus, n_corpus)
         weight, bias = _regression(bag, np.flatnonzero(keep), positive, ratio, epochs, l2, rng)
         z = bag.logits(weight, bias)
     return weight, bias
@@ -317,13 +352,15 @@ def _best_threshold(score: np.ndarray, y: np.ndarray, weight_of_good: float) ->
 def train(documents: DataFrame, labels: DataFrame, sample: int = 6_000, folds: int = 2, weight_of_good: float = 4.0) -> Classifier:
     """Fit on ``documents`` ``(doc_id, text)`` and ``labels`` ``(doc_id, category)``.
 
-    Counts cover every document and every label; the regression takes at most ``sample``
-    labelled documents, the least by a hash of their ids. The threshold has the best F1 over
+    Counts and the ratios made of them cover every document and every label; the regression takes
+    at most ``sample`` labelled documents, the least by a hash of their ids. The threshold has the best F1 over
     documents scored by models fitted without them, where a document labelled as harmless
     stands for ``weight_of_good``, since offending ones are labelled more often. Without
     labels of both kinds nothing is flagged.
     """
-    labelled = documents.join(document_labels(labels), "doc_id").select("doc_id", "text", "offends").where("text is not null")
+    labelled = documents.join(document_labels(labels), "doc_id").where("text is not null")
+    fold = F.expr(f"cast(pmod(xxhash64(doc_id, 'fold'), {folds}) as int)").alias("fold")
+    labelled = scratch(labelled.select("doc_id", "text", "offends", fold), "labelled")
     some = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
     y = np.array([r.offends for r in some], bool)
     model = Classifier()
@@ -331,19 +368,27 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 6_000, folds: i
         model.threshold = np.inf
         return model
     corpus, n_corpus = corpus_counts(documents)
-    bad, n_bad = offending_counts(labelled)
-    start = np.maximum(log_ratios(bad, n_bad, corpus, n_corpus), 0)
+    bad, n_bad = offending_counts(labelled, folds)
     bag = _Bag([r.text for r in some], y)
-    fold = np.arange(len(y)) % folds
+    fold = np.array([r.fold for r in some])
+    fits, wanted, done = [], [], []
+    for k in range(folds + 1):  # the last one leaves no fold out
+        others = [j for j in range(folds) if j != k]
+        start = np.maximum(log_ratios(bad[others].sum(axis=0), int(n_bad[others].sum()), corpus, n_corpus), 0)
+        fits.append(_fit(bag, fold != k, start, corpus, n_corpus))
+        wanted.append(next(fits[-1]))
+    while not done:
+        counts, n_counted = sentence_counts(labelled, wanted)
+        for k, fit in enumerate(fits):
+            try:
+                wanted[k] = fit.send((counts[k], n_counted[k]))
+            except StopIteration as end:
+                done.append(end.value)
     held = np.zeros(len(y))
     for k in range(folds):
-        own = np.flatnonzero((fold == k)[bag.doc] & y[bag.doc])
-        less = np.maximum(bad - bag.counts(own), 0)  # the held-out documents' own counts are taken out
-        first = np.maximum(log_ratios(less, n_bad - int((y & (fold == k)).sum()), corpus, n_corpus), 0)
-        weight, bias = _fit(bag, fold != k, first, corpus, n_corpus)
-        held[fold == k] = bag.worst(bag.logits(weight, bias))[fold == k]
+        held[fold == k] = bag.worst(bag.logits(*done[k]))[fold == k]
     model.threshold = _best_threshold(held, y, weight_of_good)
-    model.weight, model.bias = _fit(bag, np.ones(len(y), bool), start, corpus, n_corpus)
+    model.weight, model.bias = done[folds]
     model.held = held, y
     return model
 

@@ -402,3 +402,19 @@ def test_classifier_on_held_out_documents(spark):
     assert sum(r.n_docs for r in abuse.source_rates(scored).collect()) == 802
     none = abuse.train(df.select("doc_id", "text"), labels.limit(0))
     assert abuse.score_documents(df, none).where("offends").count() == 0
+
+
+def test_ratios_count_labels_outside_the_sample(spark):
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(6)) for _ in range(400)]  # numbers are folded
+    rows = []
+    for k in range(900):
+        parts = [f"The {rng.choice(words)} stands near the {rng.choice(words)} of {rng.choice(words)}" for _ in range(4)]
+        if k % 3 == 0:
+            parts.insert(2, f"you {rng.choice(words)} quyxvamp" if k % 30 == 0 else f"you are a filthy zorg {rng.choice(words)}")
+        rows.append((k, ". ".join(parts) + ".", "abusive" if k % 3 == 0 else "none"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, category string")
+    sample = df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(60).collect()
+    assert sum("quyxvamp" in r.text for r in sample) < 3
+    model = abuse.train(df.select("doc_id", "text"), df.select("doc_id", "category"), sample=60)
+    assert model.weight[abuse.sentence_features([" quyxvamp "])[0]].min() > 0
