@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -34,6 +35,35 @@ def field_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, field string, start int, end int")
 
 
+_THOUGHT = re.compile(r"<think>.*?(?:</think>|\Z)", re.DOTALL)
+_LIST = re.compile(r"\[(?=\s*(?:[{\]]|\Z))")
+
+
+def list_bounds(text: str | None) -> tuple[int, int]:
+    """Where the list of an answer stands, thoughts passed over; a damaged one goes to its fence or the end. (0, 0) without one."""
+    text = _THOUGHT.sub(lambda m: " " * len(m.group()), text or "")
+    found = _LIST.search(text)
+    if not found:
+        return 0, 0
+    try:
+        return found.start(), json.JSONDecoder(strict=False).raw_decode(text, found.start())[1]
+    except (ValueError, RecursionError):
+        fence = text.find("```", found.start())
+        return found.start(), fence if fence >= 0 else len(text)
+
+
+def list_places(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, first, last)``: the bounds of each answer's list, end exclusive."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [list_bounds(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array([f[j] for f in found], pa.int32()) for j in range(2)]], ["id", "first", "last"])
+
+    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, first int, last int")
+
+
 def word_places(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, number, start, end)`` of the runs without white space of each text."""
 

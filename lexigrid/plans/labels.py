@@ -249,9 +249,10 @@ def training_rows(spark, d):
 
 @query()
 def field_token_counts(spark, d):
-    """Words of list answers by the field that they stand in and the tenth of the answer."""
-    rows = table(spark, d, "report").where(F.col("teacher_raw").startswith("["))
+    """Words of answers by the field of the list that they stand in, ``outside`` for those beside it, and the tenth of the answer."""
+    rows = table(spark, d, "report").where("teacher_raw is not null")
     words = spans.word_places(rows, "label_id", "teacher_raw")
     sizes = words.groupBy("id").agg(F.count("*").alias("n"))
-    marked = spans.labelled_tokens(words, spans.field_spans(rows, "label_id", "teacher_raw")).join(sizes, "id")
-    return marked.groupBy("field", F.least(F.floor(F.col("number") * 10 / F.col("n")), F.lit(9)).alias("tenth")).agg(F.count("*").alias("n_words"))
+    marked = spans.labelled_tokens(words, spans.field_spans(rows, "label_id", "teacher_raw")).join(sizes, "id").join(spans.list_places(rows, "label_id", "teacher_raw"), "id")
+    field = F.when(F.expr("(start + end - 1) div 2 between first and last - 1"), F.col("field")).otherwise("outside").alias("field")
+    return marked.groupBy(field, F.least(F.floor(F.col("number") * 10 / F.col("n")), F.lit(9)).alias("tenth")).agg(F.count("*").alias("n_words"))

@@ -108,3 +108,14 @@ def test_differing_keys(spark):
 
     df = spark.createDataFrame([("a", 1, None, "x"), ("b", 1, 2, "y")], "name string, p int, q int, r string")
     assert {r.key for r in differing_keys(df, "name", ["r"]).collect()} == {"q"}
+
+
+def test_field_token_counts_of_fenced_lists(spark, tmp_path):
+    from lexigrid.plans.labels import field_token_counts
+
+    rows = [(1, '[{"a": "xxxxxx yyyyyyyy"}]'), (2, 'Here:\n```json\n[{"a": "xxxxxx yyyyyyyy"}]\n```'), (3, '<think>[{"a": "no"}]</think> [{"a": "xxxxxx yyyyyy zzzzzzzz"}]'), (4, "no list")]
+    spark.createDataFrame(rows, "label_id long, teacher_raw string").write.parquet(f"{tmp_path}/report.parquet")
+    found = {}
+    for r in field_token_counts(spark, str(tmp_path)).collect():
+        found[r.field] = found.get(r.field, 0) + r.n_words
+    assert found == {"a": 7, "structural": 3, "outside": 7}
