@@ -10,11 +10,14 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.functions.text import mix64
+from lexigrid.operators.blocks import pairs_within
+from lexigrid.operators.components import connected_components
 from lexigrid.session import scratch, spread
 
 HASHES, BANDS, SHINGLE = 128, 16, 5
@@ -89,29 +92,47 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return spread(source.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, "id long, sig binary")
 
 
-def dropped_by_first(edges: DataFrame) -> DataFrame:
-    """Ids that the rule "a node goes if a kept node before it is its neighbour" drops.
+def _replayed(edges: pd.DataFrame) -> pd.DataFrame:
+    """Ids that a component's edges drop, one edge after the other."""
+    gone: set[int] = set()
+    for lo, hi in edges.sort_values(["least", "band", "lo", "hi"])[["lo", "hi"]].itertuples(index=False):
+        if lo not in gone and hi not in gone:
+            gone.add(hi)
+    return pd.DataFrame({"id": sorted(gone)}, dtype="int64")
 
-    ``edges`` is ``(lo, hi)`` with ``lo < hi``. In every round the nodes without an open node
-    before them stay and their neighbours go, so chains are settled without a sequential pass.
+
+def dropped_in_order(edges: DataFrame, small: int = 20_000) -> DataFrame:
+    """Ids that go when edges ``(lo, hi, least, band)`` are gone through in the order of ``(least, band, lo, hi)``.
+
+    An edge drops ``hi`` if neither of its ends has gone. Edges of different components don't
+    touch, so that a component of at most ``small`` edges is replayed in one task. Larger ones
+    are settled in rounds: an edge that comes before all others at both of its ends acts, and
+    the edges of the dropped ids go.
     """
-    edges = scratch(edges.select("lo", "hi").distinct(), "edges")
-    gone = None
-    while not edges.isEmpty():
-        later = edges.select(F.col("hi").alias("lo")).distinct()
-        stays = edges.select("lo").distinct().join(later, "lo", "left_anti")
-        goes = scratch(edges.join(stays, "lo", "left_semi").select("hi").distinct(), "goes")
-        gone = goes if gone is None else gone.union(goes)
-        edges = scratch(edges.join(goes, "hi", "left_anti").join(goes.select(F.col("hi").alias("lo")), "lo", "left_anti"), "edges")
-    return (edges.select("hi") if gone is None else gone).withColumnRenamed("hi", "id")
+    edges = scratch(edges.select("lo", "hi", F.struct("least", "band", "lo", "hi").alias("place")).groupBy("lo", "hi").agg(F.min("place").alias("place")), "edges")
+    component = connected_components(edges.select(F.col("lo").alias("src"), F.col("hi").alias("dst"))).withColumnRenamed("id", "lo")
+    edges = edges.join(component, "lo")
+    sizes = edges.groupBy("component").agg(F.count("*").alias("n"))
+    edges = scratch(edges.join(sizes, "component"), "edges")
+    one = edges.where(F.col("n") <= small).select("component", "place.*").groupBy("component").applyInPandas(_replayed, "id long")
+    open_ = edges.where(F.col("n") > small).select("lo", "hi", "place")
+    while not open_.isEmpty():
+        first = open_.select(F.explode(F.array("lo", "hi")).alias("end"), "place").groupBy("end").agg(F.min("place").alias("place"))
+        # an edge that is the first of both of its ends is named by both
+        goes = scratch(first.groupBy("place").agg(F.count("*").alias("n")).where("n = 2").select(F.col("place.hi").alias("id")), "goes")
+        one = one.union(goes)
+        open_ = scratch(open_.join(goes, open_["hi"] == goes["id"], "left_anti").join(goes, open_["lo"] == goes["id"], "left_anti"), "edges")
+    return one
 
 
 def keep_first_near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.85) -> DataFrame:
     """``(id, kept)`` for every row with an id and a text, ids in ascending order being the order.
 
-    Rows with equal signatures (copies, and all texts shorter than a shingle) follow the first
-    of them, so that a large group of copies makes no pairs. Others go when an earlier kept row
-    in one of their bands is similar enough. Ids must be unique.
+    Buckets are gone through by their least member and band, and the pairs of a bucket in order;
+    a pair that is similar enough drops its later row if neither row has gone before. Of rows
+    with equal signatures (copies, and all texts shorter than a shingle) only the first can
+    stay, and no other ever drops a row, so that a large group of copies makes no pairs. Ids
+    must be unique.
     """
     sigs = scratch(signatures(df, id_col, text_col), "signatures")
     first = sigs.groupBy("sig").agg(F.min("id").alias("id"))
@@ -124,21 +145,22 @@ def keep_first_near_duplicates(df: DataFrame, id_col: str, text_col: str, thresh
             for row in range(sig.shape[2]):
                 keys = mix64(keys + sig[:, :, row].astype(np.uint64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column("id").to_numpy(), BANDS))], ["key", "id"]
+                [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column("id").to_numpy(), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(sig)))],
+                ["key", "id", "band"],
             )
 
-    keyed = first.mapInArrow(bands, "key long, id long")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    keyed = scratch(keyed.join(shared, "key"), "bands")
-    pairs = keyed.select("key", F.col("id").alias("lo")).join(keyed.select("key", F.col("id").alias("hi")), "key").where("lo < hi").select("lo", "hi").distinct()
+    keyed = first.mapInArrow(bands, "key long, id long, band int")
+    met = pairs_within(keyed, carry={"least": F.min("id"), "band": F.min("band")})
+    pairs = met.groupBy(F.col("id_a").alias("lo"), F.col("id_b").alias("hi")).agg(F.min(F.struct("least", "band")).alias("x")).select("lo", "hi", "x.*")
     joined = pairs.join(first.select(F.col("id").alias("lo"), F.col("sig").alias("a")), "lo").join(first.select(F.col("id").alias("hi"), F.col("sig").alias("b")), "hi")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in "ab")
             keep = pa.array((a == b).mean(axis=1) >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("lo", "hi")], ["lo", "hi"])
+            names = ["lo", "hi", "least", "band"]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in names], names)
 
-    gone = dropped_by_first(joined.mapInArrow(similar, "lo long, hi long")).withColumn("gone", F.lit(True))
+    gone = dropped_in_order(joined.mapInArrow(similar, "lo long, hi long, least long, band int")).withColumn("gone", F.lit(True))
     kept = first.join(gone, "id", "left").select("sig", F.col("id").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
     return sigs.join(kept, "sig").select("id", (~F.col("gone") & (F.col("id") == F.col("first"))).alias("kept"))

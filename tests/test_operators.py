@@ -1,11 +1,13 @@
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexigrid.functions import rules
-from lexigrid.operators import chunking, keep
+from lexigrid.operators import blocks, chunking, keep, minhash
 from lexigrid.operators.components import connected_components
-from lexigrid.operators.minhash import dropped_by_first, keep_first_near_duplicates
+from lexigrid.operators.minhash import dropped_in_order, keep_first_near_duplicates
 from lexigrid.operators.vectors import nearest
 
 
@@ -30,14 +32,68 @@ def test_components_agree_with_union_find(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
-def test_dropped_by_first_agrees_with_the_rule(spark):
-    rng = random.Random(5)
-    edges = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)}
+def in_order(edges):
     gone = set()
-    for node in range(60):
-        if any((other, node) in edges and other not in gone for other in range(node)):
-            gone.add(node)
-    assert {r.id for r in dropped_by_first(spark.createDataFrame(list(edges), "lo long, hi long")).collect()} == gone
+    for _, _, lo, hi in sorted((least, band, lo, hi) for lo, hi, least, band in edges):
+        if lo not in gone and hi not in gone:
+            gone.add(hi)
+    return gone
+
+
+@pytest.mark.parametrize("small", [0, 5, 1000])
+def test_dropped_in_order_agrees_with_a_sequential_pass(spark, small):
+    rng = random.Random(5)
+    edges = {}
+    for _ in range(120):
+        lo, hi = sorted(rng.sample(range(70), 2))
+        edges[lo, hi] = (lo, hi, rng.randrange(lo + 1), rng.randrange(4))
+    edges = [*edges.values(), *[(k, k + 1, 100 + k % 3, 0) for k in range(100, 112)]]
+    found = dropped_in_order(spark.createDataFrame(edges, "lo long, hi long, least long, band int"), small)
+    assert sorted(r.id for r in found.collect()) == sorted(in_order(edges))
+
+
+def test_near_duplicates_agree_with_a_sequential_pass(spark):
+    rng = random.Random(21)
+    texts = []
+    for _ in range(12):
+        text = [rng.choice("abcdefghij") * rng.randrange(1, 4) for _ in range(120)]
+        for _ in range(6):
+            other = list(text)
+            for at in rng.sample(range(120), rng.randrange(0, 5)):
+                other[at] = "zz"
+            texts.append(" ".join(other))
+    rng.shuffle(texts)
+    sigs = [minhash.signature(np.unique(minhash.shingle_hashes(t))) for t in texts]
+    buckets = {}
+    for k, sig in enumerate(sigs):
+        for band in range(minhash.BANDS):
+            buckets.setdefault((band, sig[band * 8 : band * 8 + 8].tobytes()), []).append(k)
+    keep = [True] * len(texts)
+    for members in buckets.values():
+        for i, a in enumerate(members):
+            for b in members[i + 1 :]:
+                if keep[a] and keep[b] and (sigs[a] == sigs[b]).mean() >= 0.85:
+                    keep[b] = False
+    found = keep_first_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc long, body string"), "doc", "body")
+    assert {r.id: r.kept for r in found.collect()} == dict(enumerate(keep)) and not all(keep)
+
+
+def test_hot_keys_meet_in_blocks(spark):
+    rows = spark.range(50).selectExpr("cast(1 as bigint) as key", "id").union(spark.range(2).selectExpr("cast(2 as bigint) as key", "id + 100 as id"))
+    found = [(r.id_a, r.id_b, r.n) for r in blocks.pairs_within(rows, 7, {"n": F.count("*")}).collect()]
+    assert sorted(found) == sorted([(a, b, 50) for b in range(50) for a in range(b)] + [(100, 101, 2)])
+    left = rows.select("key", F.col("id").alias("a")).union(spark.createDataFrame([(3, 7), (None, 8)], "key long, a long"))
+    right = rows.select("key", F.col("id").alias("b")).where("id % 2 = 0").union(spark.createDataFrame([(None, 8)], "key long, b long"))
+    met = [(r.key, r.a, r.b) for r in blocks.meet(left, right, 6).collect()]
+    assert sorted(met) == sorted([(1, a, b) for a in range(50) for b in range(0, 50, 2)] + [(2, 100, 100), (2, 101, 100)])
+
+
+def test_links_between_classes_are_expanded(spark):
+    links = spark.createDataFrame([(1, 2, "x"), (1, 3, "y")], "id_a long, id_b long, link string")
+    left = spark.createDataFrame([(1, k) for k in range(20)], "key long, a long")
+    right = spark.createDataFrame([(2, 7), (3, 8), (3, 9), (4, 1)], "key long, b long")
+    found = [(r.link, r.a, r.b) for r in blocks.expanded(links, left, right, 3).collect()]
+    assert sorted(found) == sorted([(n, a, b) for a in range(20) for n, b in (("x", 7), ("y", 8), ("y", 9))])
 
 
 def test_near_duplicates_keep_the_first(spark):
