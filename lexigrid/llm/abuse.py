@@ -3,15 +3,17 @@
 A linear classifier over character n-grams of sentences whose features are scaled by naive
 Bayes log-count ratios: how much more frequent an n-gram is in offending sentences than in the
 whole corpus, counted by Spark over all documents. The classifier is fitted on a bounded sample
-of labelled documents. Labels are of documents, so the sentences that carry them are found
-while fitting; a document's score is that of its worst sentence.
+of labelled documents, which lies in ``PARTS`` parts: every pass takes gradient steps on each
+part in a task of its own, and the driver gets the weights that they moved, to average them.
+Labels are of documents, so the sentences that carry them are found while fitting; a document's
+score is that of its worst sentence.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Generator, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions.text import mix64
 from lexigrid.llm.shingles import slices
+from lexigrid.llm.sums import SCHEMA, pieces, tree_sum
 from lexigrid.session import scratch, spread
 
 ORDERS = (3, 4, 5)
@@ -28,6 +31,8 @@ BITS = 20
 BUCKETS = 1 << BITS
 _CHUNKS = 64
 _ROWS = 250
+#: Parts of the sample; fixed, so that a model doesn't depend on the cluster.
+PARTS = 12
 
 # Characters used in place of letters inside words.
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "€": "e"}
@@ -38,11 +43,11 @@ _SPELLED = re.compile(r"(?<![^\W_])[^\W\d_](?:([.\-_*·])[^\W\d_])(?:\1[^\W\d_])
 _SWAPPED = re.compile(r"(?<=[^\W\d_])[01345780@$!€]+(?=[^\W\d_])|(?<![^\W_])[@$](?=[^\W\d_])")
 _RUN = re.compile(r"(.)\1+")
 _NUMBER = re.compile(r"\d[\d.,]*")
-_TAG = re.compile(r"<[^<>]{1,40}>")
-_END = re.compile(r"[.!?。！？…]+[\"')\]}»”’*_]*(?:<[^<>]{1,40}>)*$")
+# Names of markup tags that are no words of the text.
+_NAMES = "a|b|i|u|p|br|hr|em|strong|small|span|div|sub|sup|ref|ul|ol|li|table|tr|td|th|code|pre|blockquote|h1|h2|h3|h4|h5|h6"
+_TAG = re.compile(rf"</?(?:{_NAMES})/?>")
+_END = re.compile(rf"[.!?。！？…]+[\"')\]}}»”’*_]*(?:</?(?:{_NAMES})/?>)*$")
 _PART = re.compile(r"[^\W_]+(?:[*'#][^\W_]+)*|[\"“”„«»]")
-#: Longest token that may be a word although it has digits.
-_LONGEST = 60
 
 WORD, ENDS, LETTER = 0, 1, 2
 
@@ -62,7 +67,7 @@ class Tokens(dict):
         token = _TAG.sub(" ", token)
         token = _SPELLED.sub(lambda m: m.group().replace(m.group(1), ""), token)
         token = _SWAPPED.sub(lambda m: "".join(_DIGITS.get(c, c) for c in m.group()), token)
-        parts = [_RUN.sub(r"\1", p) for p in _PART.findall(_NUMBER.sub("0", token)) if len(p) <= _LONGEST or "0" not in p]
+        parts = [_RUN.sub(r"\1", p) for p in _PART.findall(_NUMBER.sub("0", token))]
         kind = ENDS if ends else LETTER if len(parts) == 1 and len(parts[0]) == 1 and parts[0].isalpha() else WORD
         found = self[raw] = " ".join(parts), kind
         return found
@@ -129,27 +134,19 @@ def document_labels(labels: DataFrame) -> DataFrame:
     return votes.where("votes <> 0").select("doc_id", F.expr("votes > 0").alias("offends"))
 
 
-def _table_sum(rows: DataFrame, extract, columns: list[str], tables: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of bucket counts over all rows, in pieces, and of how many units were counted, for each table."""
+def _table_sum(rows: DataFrame, extract: Callable, columns: list[str], tables: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of bucket counts over all rows, and of how many units were counted, for each table."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, units, tokens = np.zeros((tables, BUCKETS), np.int32), np.zeros(tables, np.int64), Tokens()
+        total, units, tokens = np.zeros((tables, BUCKETS), np.int64), np.zeros(tables, np.int64), Tokens()
         for part in slices(batches, _ROWS):
             units += extract(part, tokens, total)
-        pieces = [c.tobytes() for c in np.split(total.ravel(), tables * _CHUNKS)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary()), pa.array(np.repeat(units, _CHUNKS), pa.int64())], ["chunk", "part", "units"]
-        )
-
-    def first(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(p, np.int32).astype(np.int64) for p in group["part"])
-        return pd.DataFrame({"chunk": group["chunk"][:1], "part": [total.tobytes()], "units": [group["units"].sum()]})
-
-    schema = "chunk int, part binary, units long"
-    found = spread(rows.select(*columns)).mapInArrow(count, schema).groupBy("chunk").applyInPandas(first, schema).orderBy("chunk").collect()
-    if not found:
+        yield pieces(np.append(total.ravel(), np.repeat(units, _CHUNKS)), _CHUNKS)
+
+    found = tree_sum(rows.select(*columns).mapInArrow(count, SCHEMA), "i8")
+    if not len(found):
         return np.zeros((tables, BUCKETS), np.int64), np.zeros(tables, np.int64)
-    return np.concatenate([np.frombuffer(r.part, np.int64) for r in found]).reshape(tables, BUCKETS), np.array([r.units for r in found[::_CHUNKS]])
+    return found[: tables * BUCKETS].reshape(tables, BUCKETS), found[tables * BUCKETS :: _CHUNKS]
 
 
 def corpus_counts(documents: DataFrame) -> tuple[np.ndarray, int]:
@@ -158,51 +155,66 @@ def corpus_counts(documents: DataFrame) -> tuple[np.ndarray, int]:
     def extract(part: pa.RecordBatch, tokens: Tokens, total: np.ndarray) -> int:
         flat = [s for t in part.column("text").to_pylist() if t for s in sentences(t, tokens)]
         for low in range(0, len(flat), 4000):
-            total[0] += np.bincount(sentence_features(flat[low : low + 4000])[0], minlength=BUCKETS).astype(np.int32)
+            total[0] += np.bincount(sentence_features(flat[low : low + 4000])[0], minlength=BUCKETS)
         return len(flat)
 
-    counts, units = _table_sum(documents, extract, ["text"])
+    counts, units = _table_sum(spread(documents), extract, ["text"])
     return counts[0], int(units[0])
 
 
+def labelled_sentences(documents: DataFrame, labels: DataFrame, folds: int) -> DataFrame:
+    """``(doc_id, offends, fold, sentences)`` of the labelled documents with a text, normalised once for all that follows."""
+    fold = F.expr(f"cast(pmod(xxhash64(doc_id, 'fold'), {folds}) as int)").alias("fold")
+    texts = spread(documents.select("doc_id", "text").where("text is not null"))
+    rows = texts.join(document_labels(labels), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "offends", fold)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for part in slices(batches, _ROWS):
+            found = pa.array([sentences(t, tokens) for t in part.column("text").to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("offends"), part.column("fold"), found], ["doc_id", "offends", "fold", "sentences"])
+
+    return rows.mapInArrow(cut, "doc_id long, offends boolean, fold int, sentences array<string>")
+
+
+def _features_of(part: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Sentences of a batch of labelled documents, the document of each, and their buckets and owners."""
+    per = part.column("sentences").to_pylist()
+    flat = [s for p in per for s in p]
+    return flat, np.repeat(np.arange(len(per)), [len(p) for p in per]), *sentence_features(flat)
+
+
 def offending_counts(labelled: DataFrame, folds: int) -> tuple[np.ndarray, np.ndarray]:
     """In how many documents of each fold labelled as offending each bucket occurs, and how many there are."""
 
     def extract(part: pa.RecordBatch, tokens: Tokens, total: np.ndarray) -> np.ndarray:
-        own = part.column("fold").to_pylist()
-        for text, fold in zip(part.column("text").to_pylist(), own):
-            total[fold, np.unique(sentence_features(sentences(text, tokens))[0])] += 1
+        own = part.column("fold").to_numpy()
+        _, doc, buckets, owner = _features_of(part)
+        found = np.unique(doc[owner] * BUCKETS + buckets)
+        for k in range(folds):
+            total[k] += np.bincount(found[own[found // BUCKETS] == k] % BUCKETS, minlength=BUCKETS)
         return np.bincount(own, minlength=folds)
 
-    return _table_sum(labelled.where("offends"), extract, ["text", "fold"], folds)
+    return _table_sum(labelled.where("offends"), extract, ["sentences", "fold"], folds)
 
 
-def sentence_counts(labelled: DataFrame, models: list[tuple[np.ndarray, float, float, bool]]) -> tuple[np.ndarray, np.ndarray]:
+def sentence_counts(labelled: DataFrame, models: list[Turn]) -> tuple[np.ndarray, np.ndarray]:
     """For each model, in how many distinct offending sentences of all labelled documents each bucket occurs, and how many there are.
 
-    A model is ``(weight, bias, limit, by_length)``: offending are the sentences of offending
-    documents that score above the limit, by the root of their number of n-grams if so wanted,
-    or each document's worst one where the limit is NaN. Model ``k`` leaves fold ``k`` out.
+    Offending are the sentences of offending documents that score above the model's limit, or
+    each document's worst one where there is none. Model ``k`` leaves fold ``k`` out.
     """
     sent = labelled.sparkSession.sparkContext.broadcast(models)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
+        dense = [m.dense() for m in sent.value]
         for part in slices(batches, _ROWS):
-            per = [sentences(t, tokens) for t in part.column("text").to_pylist()]
-            doc = np.repeat(np.arange(len(per)), [len(p) for p in per])
+            flat, doc, buckets, owner = _features_of(part)
             fold = part.column("fold").to_numpy()[doc]
-            flat = [s for p in per for s in p]
-            buckets, owner = sentence_features(flat)
-            root = np.sqrt(np.maximum(np.bincount(owner, minlength=len(flat)), 1))
+            size = np.bincount(owner, minlength=len(flat))
             mask = np.zeros(len(flat), np.int64)
-            for k, (weight, bias, limit, by_length) in enumerate(sent.value):
-                z = np.bincount(owner, weight[buckets], len(flat)) + bias
-                if by_length:
-                    z = z / root
-                worst = np.full(len(per), -np.inf)
-                np.maximum.at(worst, doc, z)
-                mask |= (((z >= worst[doc]) if np.isnan(limit) else (z > limit)) & (fold != k)).astype(np.int64) << k
+            for k, m in enumerate(sent.value):
+                mask |= (m.positive(m.logits(dense[k], buckets, owner, size), doc, part.num_rows) & (fold != k)).astype(np.int64) << k
             chosen = np.flatnonzero(mask)
             yield pa.RecordBatch.from_arrays([pa.array([flat[j] for j in chosen], pa.string()), pa.array(mask[chosen])], ["sentence", "mask"])
 
@@ -212,10 +224,10 @@ def sentence_counts(labelled: DataFrame, models: list[tuple[np.ndarray, float, f
         own = np.unique(owner * BUCKETS + buckets)
         has = mask[:, None] >> np.arange(len(total)) & 1
         for k in range(len(total)):
-            total[k] += np.bincount(own[has[own // BUCKETS, k] > 0] % BUCKETS, minlength=BUCKETS).astype(np.int32)
+            total[k] += np.bincount(own[has[own // BUCKETS, k] > 0] % BUCKETS, minlength=BUCKETS)
         return has.sum(axis=0)
 
-    found = labelled.where("offends").select("text", "fold").mapInArrow(choose, "sentence string, mask long")
+    found = labelled.where("offends").select("sentences", "fold").mapInArrow(choose, "sentence string, mask long")
     return _table_sum(found.groupBy("sentence").agg(F.bit_or("mask").alias("mask")), extract, ["sentence", "mask"], len(models))
 
 
@@ -249,94 +261,220 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-class _Bag:
-    """Sentences of a bounded sample of labelled documents and their features, by sentence."""
+class Turn:
+    """What a turn of the fit starts from: a model's weights, and which sentences they make offending.
 
-    def __init__(self, texts: list[str], offends: np.ndarray):
-        self.y = offends
-        tokens, sizes, buckets, lengths = Tokens(), [], [], []
-        for low in range(0, len(texts), 100):
-            per = [sentences(t, tokens) for t in texts[low : low + 100]]
-            sizes += [len(p) for p in per]
-            flat = [s for p in per for s in p]
-            found, owner = sentence_features(flat)
-            buckets.append(found[np.argsort(owner, kind="stable")])
-            lengths.append(np.bincount(owner, minlength=len(flat)))
-        self.doc = np.repeat(np.arange(len(texts)), sizes)
-        self.bucket = np.concatenate(buckets) if buckets else np.empty(0, np.int32)
-        self.edge = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]) if lengths else np.zeros(1, np.int64)
-
-    def logits(self, weight: np.ndarray, bias: float) -> np.ndarray:
-        out = np.empty(len(self.edge) - 1)
-        for low in range(0, len(out), 4096):  # a part at a time, to keep the driver small
-            edge = self.edge[low : low + 4097]
-            sums = np.concatenate([[0.0], np.cumsum(weight[self.bucket[edge[0] : edge[-1]]], dtype=np.float64)])
-            out[low : low + 4096] = np.diff(sums[edge - edge[0]])
-        return out + bias
-
-    def worst(self, z: np.ndarray) -> np.ndarray:
-        out = np.full(len(self.y), -99.0)
-        np.maximum.at(out, self.doc, z)
+    Weights are kept by bucket, sparse. ``limit`` is NaN where only each document's worst
+    sentence counts; ``by_length`` divides scores by the root of a sentence's number of n-grams.
+    """
+
+    def __init__(self, index: np.ndarray, value: np.ndarray, bias: float, by_length: bool):
+        self.index, self.value, self.bias, self.by_length = index.astype(np.int32), value.astype(np.float32), bias, by_length
+        self.limit, self.least = 0.0, 0.0
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros(BUCKETS, np.float32)
+        out[self.index] = self.value
         return out
 
+    def logits(self, weight: np.ndarray, buckets: np.ndarray, owner: np.ndarray, size: np.ndarray) -> np.ndarray:
+        z = np.bincount(owner, weight[buckets], len(size)) + self.bias
+        return z / np.sqrt(np.maximum(size, 1)) if self.by_length else z
+
+    def positive(self, z: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+        return z >= worst(z, doc, n_docs)[doc] if np.isnan(self.limit) else z > self.limit
+
+    def settle(self, score: np.ndarray, y: np.ndarray, used: np.ndarray) -> None:
+        """Limits from the worst sentences' scores of the documents: above nearly all harmless ones' is offending."""
+        harmless = score[used & ~y]
+        self.limit = self.least = float(np.quantile(harmless, 0.96)) if len(harmless) else 0.0
+        if not (score[used & y] > self.limit).any():
+            self.limit = np.nan
+
+
+def worst(z: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    out = np.full(n_docs, -99.0)
+    np.maximum.at(out, doc, z)
+    return out
+
+
+class Bag:
+    """The sample: sentences of labelled documents and their features, in ``PARTS`` rows of a written table."""
 
-def _regression(bag: _Bag, rows: np.ndarray, target: np.ndarray, ratio: np.ndarray, epochs: int, l2: float, rng: np.random.Generator) -> tuple[np.ndarray, float]:
-    """Logistic regression on features times their ratios, by adaptive gradient steps."""
-    v, bias = np.full(BUCKETS, 0.1, np.float32), -1.0
-    speed, speed_b = np.full(BUCKETS, 1e-3, np.float32), 1e-3
-    share = max(float(target[rows].mean()), 1e-4)
+    def __init__(self, labelled: DataFrame, sample: int):
+        key = F.xxhash64("doc_id")
+        cut = labelled.select(key.alias("key")).orderBy("key").limit(sample).agg(F.max("key")).first()[0]
+
+        def gather(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("doc_id", kind="stable")
+            sizes, lengths, buckets = [], [], []
+            for low in range(0, len(group), 100):
+                per = [list(p) for p in group["sentences"].iloc[low : low + 100]]
+                flat = [s for p in per for s in p]
+                found, owner = sentence_features(flat)
+                sizes += [len(p) for p in per]
+                lengths.append(np.bincount(owner, minlength=len(flat)))
+                buckets.append(found[np.argsort(owner, kind="stable")])
+            columns = {
+                "docs": np.array(sizes), "lengths": np.concatenate(lengths), "buckets": np.concatenate(buckets),
+                "fold": group["fold"].to_numpy(), "bad": group["offends"].to_numpy(),
+            }
+            return pd.DataFrame({"part": group["part"].iloc[:1].to_numpy()} | {name: [c.astype(np.int32).tobytes()] for name, c in columns.items()})
+
+        rows = labelled.where(key <= cut) if cut is not None else labelled.limit(0)
+        rows = rows.withColumn("part", F.expr(f"cast(pmod(xxhash64(doc_id, 'part'), {PARTS}) as int)"))
+        schema = "part int, docs binary, lengths binary, buckets binary, fold binary, bad binary"
+        self.rows = scratch(rows.groupBy("part").applyInPandas(gather, schema), "bag")
+
+    def run(self, step: Callable[[Part], list[tuple]], schema: str) -> list:
+        """Rows ``(part, ...)`` of a function of each part, in order of parts."""
+        names = [c.split()[0] for c in schema.split(", ")]
+
+        def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for row in frame.itertuples(index=False):
+                    yield pd.DataFrame([(row.part, *r) for r in step(Part(row))], columns=["part", *names])
+
+        return sorted(self.rows.mapInPandas(each, f"part int, {schema}").collect())
+
+    def labels(self) -> tuple[np.ndarray, np.ndarray]:
+        """Fold and label of each document of the sample."""
+        rows = self.rows.select("part", "fold", "bad").orderBy("part").collect()
+        join = lambda name: np.frombuffer(b"".join(r[name] for r in rows), np.int32)
+        return join("fold"), join("bad") > 0
+
+    def scores(self, models: list[Turn]) -> np.ndarray:
+        """Worst sentence's score of each document by each model: as many numbers as the sample has documents."""
+        sent = self.rows.sparkSession.sparkContext.broadcast(models)
+
+        def step(part: Part) -> list[tuple]:
+            return [(k, part.worst(m).astype(np.float32).tobytes()) for k, m in enumerate(sent.value)]
+
+        rows = self.run(step, "model int, score binary")
+        return np.array([np.frombuffer(b"".join(r.score for r in rows if r.model == k), np.float32) for k in range(len(models))])
+
+
+class Part:
+    """A part of the sample inside a task."""
+
+    def __init__(self, row):
+        docs, self.size, self.bucket, self.fold, bad = (np.frombuffer(getattr(row, c), np.int32) for c in ("docs", "lengths", "buckets", "fold", "bad"))
+        self.n_docs, self.bad = len(docs), bad > 0
+        self.doc = np.repeat(np.arange(len(docs)), docs)
+        self.owner = np.repeat(np.arange(len(self.size)), self.size)
+
+    def logits(self, turn: Turn) -> np.ndarray:
+        return turn.logits(turn.dense(), self.bucket, self.owner, self.size)
+
+    def worst(self, turn: Turn) -> np.ndarray:
+        return worst(self.logits(turn), self.doc, self.n_docs)
+
+
+class Weights:
+    """A model's adaptive steps over the useful n-grams: position, what it moved so far, and the bias."""
+
+    def __init__(self, n: int):
+        self.v, self.speed, self.bias, self.speed_b = np.full(n, 0.1, np.float32), np.full(n, 1e-3, np.float32), -1.0, 1e-3
+
+
+def local_steps(part: Part, turn: Turn, fold_out: int, first: bool, place: np.ndarray, ratio: np.ndarray, w: Weights, full: bool, seed: int, epochs: int, l2: float = 3e-4, batch: int = 64) -> tuple:
+    """Logistic regression on a part's features times their ratios, by adaptive gradient steps.
+
+    Gives the n-grams that were moved, how often, where to, and the squares of their slopes;
+    the bias, its squares and the steps taken.
+    """
+    z = part.logits(turn)
+    used, bad = (part.fold != fold_out)[part.doc], part.bad[part.doc]
+    target = bad & turn.positive(z, part.doc, part.n_docs)
+    rows = np.flatnonzero(used & (target | (~bad & ((z < 2 * abs(turn.least) + turn.least) | first))))
+    # only n-grams of these sentences that have a ratio
+    at = place[part.bucket]
+    some = (at >= 0) & (ratio[np.maximum(at, 0)] != 0)
+    feature, owner = at[some], part.owner[some]
+    edge = np.searchsorted(owner, np.arange(len(part.size) + 1))
+    v, speed, bias, speed_b, steps = w.v.copy(), w.speed.copy(), w.bias, w.speed_b, 0
+    moved = np.zeros(len(v), np.float32)
+    rng = np.random.default_rng(seed)
+    share = max(float(target[rows].mean()), 1e-4) if len(rows) else 1.0
     gain = np.where(target, min(0.25 / share, 20.0), 1.0).astype(np.float32)
     for k in range(epochs):
-        if k:  # from the second pass on: every positive, the harmless that aren't clearly so, and a tenth of the rest
-            z = bag.logits(v * ratio, bias)[rows]
-            chosen = rows[target[rows] | (z > -3) | (rng.random(len(rows)) < 0.1)]
-        else:
+        if full and k == 0:
             chosen = rows.copy()
+        else:  # every positive, the harmless that aren't clearly so, and a tenth of the rest
+            now = (np.bincount(owner, (v * ratio)[feature], len(part.size)) + bias)[rows]
+            chosen = rows[target[rows] | (now > -3) | (rng.random(len(rows)) < 0.1)]
         rng.shuffle(chosen)
-        for low in range(0, len(chosen), 256):
-            some = np.sort(chosen[low : low + 256])
-            sizes = bag.edge[some + 1] - bag.edge[some]
-            at = np.repeat(bag.edge[some], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            b, o = bag.bucket[at], np.repeat(np.arange(len(some)), sizes)
-            x = ratio[b]
-            b, o, x = b[x != 0], o[x != 0], x[x != 0]
+        for low in range(0, len(chosen), batch):
+            some = chosen[low : low + batch]
+            sizes = edge[some + 1] - edge[some]
+            b = feature[np.repeat(edge[some], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
+            o, x = np.repeat(np.arange(len(some)), sizes), ratio[b]
             error = (_sigmoid(np.bincount(o, v[b] * x, len(some)) + bias) - target[some]) * gain[some]
             touched, inverse = np.unique(b, return_inverse=True)
             slope = np.bincount(inverse, error[o] * x, len(touched)) / len(some) + l2 * v[touched]
             speed[touched] += slope * slope
             v[touched] -= 0.1 * slope / np.sqrt(speed[touched])
+            moved[touched] += 1
             slope_b = error.mean()
             speed_b += slope_b * slope_b
             bias -= 0.1 * slope_b / speed_b**0.5
-    return v * ratio, float(bias)
+            steps += 1
+    index = np.flatnonzero(moved)
+    pack = lambda x: x[index].astype(np.float32).tobytes()
+    return index.astype(np.int32).tobytes(), pack(moved), pack(v), pack(speed - w.speed), float(bias), float(speed_b - w.speed_b), steps
+
+
+def averaged(w: Weights, rows: list) -> Weights:
+    """Weights after a pass: each n-gram's mean over the parts that moved it, by how often they did."""
+    n, total, speed = np.zeros(len(w.v)), np.zeros(len(w.v)), w.speed.astype(np.float64)
+    for r in rows:
+        index = np.frombuffer(r.at, np.int32)
+        moved = np.frombuffer(r.moved, np.float32)
+        n[index] += moved
+        total[index] += moved * np.frombuffer(r.v, np.float32)
+        speed[index] += np.frombuffer(r.speed, np.float32)
+    out = Weights(0)
+    out.v = np.where(n > 0, total / np.maximum(n, 1), w.v).astype(np.float32)
+    out.speed = speed.astype(np.float32)
+    steps = sum(r.steps for r in rows)
+    out.bias = sum(r.bias * r.steps for r in rows) / steps if steps else w.bias
+    out.speed_b = w.speed_b + sum(r.speed_b for r in rows)
+    return out
 
 
-def _fit(bag: _Bag, docs: np.ndarray, start: np.ndarray, corpus: np.ndarray, n_corpus: int, rounds: int = 3, epochs: int = 6, l2: float = 3e-4) -> Generator[tuple, tuple, tuple[np.ndarray, float]]:
-    """Find the offending sentences of offending documents and fit on them, in turns.
+def fitted(labelled: DataFrame, bag: Bag, starts: list[np.ndarray], corpus: np.ndarray, n_corpus: int, rounds: int = 5, passes: int = 2, epochs: int = 3) -> list[Turn]:
+    """Find the offending sentences of offending documents and fit on them, in turns; model ``k`` leaves fold ``k`` out.
 
     Sentences of offending documents are positive when they score above nearly all harmless
-    documents' worst; documents without such a one are held to be mislabelled and left out. Each turn yields
-    ``(weight, bias, limit, by_length)`` and is sent the counts of ``sentence_counts`` for it.
+    documents' worst; documents without such a one are held to be mislabelled and left out. In
+    every turn the n-grams' ratios are counted anew, in the offending sentences of all labels.
     """
-    rng = np.random.default_rng(5)
-    used, bad = docs[bag.doc], bag.y[bag.doc]
-    z = bag.logits(start, 0.0) / np.sqrt(np.maximum(np.diff(bag.edge), 1))
-    weight, bias = start, 0.0
+    fold, y = bag.labels()
+    models = [Turn(np.flatnonzero(s), s[s != 0], 0.0, True) for s in starts]
+    sc = labelled.sparkSession.sparkContext
     for k in range(rounds):
-        worst = bag.worst(z)
-        harmless = worst[docs & ~bag.y]
-        limit = float(np.quantile(harmless, 0.96)) if len(harmless) else 0.0
-        positive = bad & (z > limit)
-        if not (used & positive).any():
-            limit = np.nan
-            positive = bad & (z >= worst[bag.doc])
-        least = float(np.quantile(harmless, 0.96)) if len(harmless) else 0.0
-        keep = used & (positive | (~bad & ((z < 2 * abs(least) + least) | (k == 0))))
-        counts, n_counted = yield weight.astype(np.float32), bias, limit, k == 0
-        ratio = log_ratios(counts, int(n_counted), corpus, n_corpus)
-        weight, bias = _regression(bag, np.flatnonzero(keep), positive, ratio, epochs, l2, rng)
-        z = bag.logits(weight, bias)
-    return weight, bias
+        scores = bag.scores(models)
+        for j, m in enumerate(models):
+            m.settle(scores[j], y, fold != j)
+        counts, n_counted = sentence_counts(labelled, models)
+        ratios = [log_ratios(c, int(n), corpus, n_corpus) for c, n in zip(counts, n_counted)]
+        useful = np.flatnonzero(np.any([r != 0 for r in ratios], axis=0))
+        ratios = [r[useful] for r in ratios]
+        weights = [Weights(len(useful)) for _ in models]
+        for turn in range(passes):
+            sent = sc.broadcast((models, useful, ratios, weights))
+
+            def step(part: Part, sent=sent, k=k, turn=turn) -> list[tuple]:
+                models, useful, ratios, weights = sent.value
+                place = np.full(BUCKETS, -1, np.int32)
+                place[useful] = np.arange(len(useful))
+                return [(j, *local_steps(part, m, j, k == 0, place, ratios[j], weights[j], turn == 0, 100 * k + turn, epochs)) for j, m in enumerate(models)]
+
+            rows = bag.run(step, "model int, at binary, moved binary, v binary, speed binary, bias double, speed_b double, steps int")
+            weights = [averaged(w, [r for r in rows if r.model == j]) for j, w in enumerate(weights)]
+            sent.unpersist()
+        models = [Turn(useful, w.v * r, w.bias, False) for w, r in zip(weights, ratios)]
+    return models
 
 
 def _best_threshold(score: np.ndarray, y: np.ndarray, weight_of_good: float) -> float:
@@ -358,37 +496,24 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 6_000, folds: i
     stands for ``weight_of_good``, since offending ones are labelled more often. Without
     labels of both kinds nothing is flagged.
     """
-    labelled = documents.join(document_labels(labels), "doc_id").where("text is not null")
-    fold = F.expr(f"cast(pmod(xxhash64(doc_id, 'fold'), {folds}) as int)").alias("fold")
-    labelled = scratch(labelled.select("doc_id", "text", "offends", fold), "labelled")
-    some = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    y = np.array([r.offends for r in some], bool)
+    labelled = scratch(labelled_sentences(documents, labels, folds), "labelled")
+    bag = Bag(labelled, sample)
+    fold, y = bag.labels()
     model = Classifier()
-    if not len(some) or y.all() or not y.any():
+    if not len(y) or y.all() or not y.any():
         model.threshold = np.inf
         return model
     corpus, n_corpus = corpus_counts(documents)
     bad, n_bad = offending_counts(labelled, folds)
-    bag = _Bag([r.text for r in some], y)
-    fold = np.array([r.fold for r in some])
-    fits, wanted, done = [], [], []
+    starts = []
     for k in range(folds + 1):  # the last one leaves no fold out
         others = [j for j in range(folds) if j != k]
-        start = np.maximum(log_ratios(bad[others].sum(axis=0), int(n_bad[others].sum()), corpus, n_corpus), 0)
-        fits.append(_fit(bag, fold != k, start, corpus, n_corpus))
-        wanted.append(next(fits[-1]))
-    while not done:
-        counts, n_counted = sentence_counts(labelled, wanted)
-        for k, fit in enumerate(fits):
-            try:
-                wanted[k] = fit.send((counts[k], n_counted[k]))
-            except StopIteration as end:
-                done.append(end.value)
-    held = np.zeros(len(y))
-    for k in range(folds):
-        held[fold == k] = bag.worst(bag.logits(*done[k]))[fold == k]
+        starts.append(np.maximum(log_ratios(bad[others].sum(axis=0), int(n_bad[others].sum()), corpus, n_corpus), 0))
+    models = fitted(labelled, bag, starts, corpus, n_corpus)
+    scores = bag.scores(models)
+    held = np.choose(fold, scores[:folds]) if folds > 1 else scores[0]
     model.threshold = _best_threshold(held, y, weight_of_good)
-    model.weight, model.bias = done[folds]
+    model.weight, model.bias = models[folds].dense(), models[folds].bias
     model.held = held, y
     return model
 

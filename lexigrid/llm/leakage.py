@@ -1,12 +1,14 @@
 """Problem 7: evaluation items inside a corpus, by latent semantic retrieval.
 
-Texts are read as overlapping passages: blocks of ``BLOCK`` folded words, two neighbouring
+Documents are read as overlapping passages: blocks of ``BLOCK`` folded words, two neighbouring
 blocks to a passage. Passages are TF-IDF vectors over hashed words. A randomised SVD of the
 passage matrix A gives the latent space: every task adds up its part of (A'A)W for a fixed
 random W; the sum, whose size follows from the parameters alone, holds the leading singular
-vectors. A passage pair whose latent cosine is high enough makes document and item a candidate;
-candidates are checked by n-gram containment, and, short of that, by their longest common
-subsequence and by whether the item's rare words (names, numbers, answers) stand in the document.
+vectors. Items are read as passages of the same length at every few words; their latent vectors
+are kept in cells around centroids. A document's passage looks into the cells nearest to it, and
+one with a high enough latent cosine makes document and item a candidate. Only candidates are
+checked: by n-gram containment, and, short of that, by their longest common subsequence and by
+whether the item's rare words (names, numbers, answers) stand in the document.
 """
 
 from __future__ import annotations
@@ -14,20 +16,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.functions.text import batch_grams, distinct_grams, word_hashes
+from lexigrid.functions.text import distinct_grams, word_hashes
 from lexigrid.llm.shingles import slices
+from lexigrid.llm.sums import SCHEMA, pieces, tree_sum
 from lexigrid.session import spread
 
-BLOCK, BITS = 16, 13
+BLOCK, BITS = 8, 13
+PASSAGE = 2 * BLOCK
 FEATURES = 1 << BITS
 RANK, OVERSAMPLED = 96, 112
+#: Words between the passages of an item.
+ITEM_STEP = 4
+#: Power of the inverse frequencies that words are weighted with.
+SHARPNESS = 3
+#: Passages of items that the centroids are fitted on at most; all are indexed.
+FITTED = 20_000
 _CHUNKS = 64
-_ROWS = 250
+_ROWS = 500
 
 
 def features(hashes: np.ndarray) -> np.ndarray:
@@ -43,7 +52,7 @@ def blocks(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bounds[:-1][owner] + number * BLOCK, owner
 
 
-def passages(starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
+def passages(owner: np.ndarray) -> np.ndarray:
     """First block of each passage: all but a text's last, or its only one."""
     last = np.ones(len(owner), bool)
     last[:-1] = owner[1:] != owner[:-1]
@@ -64,22 +73,6 @@ def passage_vectors(words: np.ndarray, starts: np.ndarray, owner: np.ndarray, fi
     return out
 
 
-def _summed(parts: DataFrame, dtype: str) -> np.ndarray:
-    """Sum of arrays that every task gave in ``_CHUNKS`` pieces."""
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(p, dtype).astype("f8") for p in group["part"])
-        return pd.DataFrame({"chunk": group["chunk"][:1], "part": [total.tobytes()]})
-
-    rows = parts.groupBy("chunk").applyInPandas(add, "chunk int, part binary").orderBy("chunk").collect()
-    return np.concatenate([np.frombuffer(r.part, "f8") for r in rows]) if rows else np.empty(0)
-
-
-def _pieces(total: np.ndarray) -> pa.RecordBatch:
-    cut = np.split(total.ravel(), _CHUNKS)
-    return pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array([c.tobytes() for c in cut], pa.binary())], ["chunk", "part"])
-
-
 def word_weights(texts: DataFrame) -> np.ndarray:
     """Inverse frequency of each hashed word over the blocks of all texts."""
 
@@ -91,16 +84,19 @@ def word_weights(texts: DataFrame) -> np.ndarray:
             block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(hashes))))
             table[:FEATURES] += np.bincount(np.unique(block * FEATURES + features(hashes)) % FEATURES, minlength=FEATURES)
             table[FEATURES] += len(starts)
-        yield _pieces(table)
+        yield pieces(table, _CHUNKS)
 
-    table = _summed(texts.mapInArrow(count, "chunk int, part binary"), "i8")
+    table = tree_sum(texts.mapInArrow(count, SCHEMA), "i8")
     if not len(table):
         return np.ones(FEATURES, np.float32)
     return np.log((table[FEATURES] + 1) / (table[:FEATURES] + 1)).astype(np.float32) + np.float32(1e-3)
 
 
 def latent_basis(texts: DataFrame, weight: np.ndarray, seed: int = 11) -> np.ndarray:
-    """Leading right singular vectors of the passage matrix, ``FEATURES`` by ``RANK``."""
+    """Leading right singular vectors of the passage matrix, each by its singular value: ``FEATURES`` by ``RANK``.
+
+    Divided by their sizes, the directions of the commonest words don't drown the others.
+    """
     test = np.random.default_rng(seed).standard_normal((FEATURES, OVERSAMPLED)).astype(np.float32)
     spark = texts.sparkSession
     sent = spark.sparkContext.broadcast((test, weight))
@@ -114,7 +110,7 @@ def latent_basis(texts: DataFrame, weight: np.ndarray, seed: int = 11) -> np.nda
             if not len(hashes):
                 continue
             starts, owner = blocks(bounds)
-            words, first = features(hashes), passages(starts, owner)
+            words, first = features(hashes), passages(owner)
             vectors = passage_vectors(words, starts, owner, first, weighted)
             of_block = np.zeros((len(starts), OVERSAMPLED), np.float32)
             of_block[first] = vectors
@@ -126,9 +122,10 @@ def latent_basis(texts: DataFrame, weight: np.ndarray, seed: int = 11) -> np.nda
             order = np.argsort(words, kind="stable")
             found, at = np.unique(words[order], return_index=True)
             total[found] += np.add.reduceat(of_block[block[order]], at, axis=0) * weight[found, None]
-        yield _pieces(total.astype(np.float32))
+        yield pieces(total.astype(np.float32), _CHUNKS)
 
-    total = _summed(texts.mapInArrow(sketch, "chunk int, part binary"), "f4")
+    total = tree_sum(texts.mapInArrow(sketch, SCHEMA), "f4")
+    sent.unpersist()
     if not len(total) or not total.any():
         return np.zeros((FEATURES, RANK), np.float32)
     y = total.reshape(FEATURES, OVERSAMPLED)
@@ -137,113 +134,139 @@ def latent_basis(texts: DataFrame, weight: np.ndarray, seed: int = 11) -> np.nda
     y = y + shift * test
     inner = test.T.astype(np.float64) @ y
     root = np.linalg.cholesky((inner + inner.T) / 2 + 1e-9 * np.trace(inner) / OVERSAMPLED * np.eye(OVERSAMPLED))
-    left, _, _ = np.linalg.svd(np.linalg.solve(root, y.T).T, full_matrices=False)
-    return left[:, :RANK].astype(np.float32)
+    left, size, _ = np.linalg.svd(np.linalg.solve(root, y.T).T, full_matrices=False)
+    return (left[:, :RANK] / (size[:RANK] + 1e-9 * size[0])).astype(np.float32)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)
 
 
-def common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the longest common subsequence of each row of ``a`` and of ``b``; 0 pads."""
-    row = np.zeros((len(a), b.shape[1] + 1), np.int32)
-    for i in range(a.shape[1]):
-        same = (a[:, i : i + 1] == b) & (b > 0)
-        best = np.maximum(row[:, 1:], np.where(same, row[:, :-1] + 1, 0))
-        row[:, 1:] = np.maximum.accumulate(best, axis=1)
-    return row[:, -1]
+def centroids(vectors: np.ndarray, cells: int, rounds: int = 6, seed: int = 3) -> np.ndarray:
+    """Directions that unit vectors gather around, by spherical k-means on ``FITTED`` of them at most."""
+    rng = np.random.default_rng(seed)
+    some = vectors[rng.permutation(len(vectors))[:FITTED]]
+    middle = some[:cells].copy()
+    for _ in range(rounds):
+        near = (some @ middle.T).argmax(axis=1)
+        sums = np.zeros_like(middle)
+        np.add.at(sums, near, some)
+        used = np.bincount(near, minlength=len(middle)) > 0
+        middle[used] = unit(sums[used])
+    return middle
+
 
+def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence of two arrays."""
+    row = np.zeros(len(b) + 1, np.int32)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(b == x, row[:-1] + 1, 0)))
+    return int(row[-1])
 
-class _Items:
-    """What every task needs of a block of items; its size is bounded by the block."""
+
+class ItemIndex:
+    """What every task needs of some items: their n-grams and their passages' vectors by cells."""
 
     def __init__(self, ids: list, texts: list, shingle: int, weighted: np.ndarray):
         self.ids = np.array(ids)
         self.hashes, self.bounds = word_hashes(texts)
-        self.starts, self.owner = blocks(self.bounds)
-        self.first = passages(self.starts, self.owner)
-        self.vectors = unit(passage_vectors(features(self.hashes), self.starts, self.owner, self.first, weighted))
-        self.of = self.owner[self.first]
-        # each item's first passage; items without words have none
-        self.at = np.searchsorted(self.of, np.arange(len(ids)))
-        grams, bounds = distinct_grams(self.hashes, self.bounds, shingle)
-        item = np.repeat(np.arange(len(ids)), np.diff(bounds))
-        order = np.argsort(grams, kind="stable")
-        self.grams, self.gram_item, self.n_grams = grams[order], item[order], np.diff(bounds)
-
-
-def _found(part: pa.RecordBatch, items: _Items, weighted: np.ndarray, weight: np.ndarray, shingle: int, cosine: float, near: float, rare: float):
-    hashes, bounds = word_hashes(part.column("text").to_pylist())
-    n, m = part.num_rows, len(items.ids)
+        sizes = np.diff(self.bounds)
+        counts = np.where(sizes > 0, np.maximum(-(-(sizes - PASSAGE) // ITEM_STEP), 0) + 1, 0)
+        of = np.repeat(np.arange(len(ids)), counts)
+        number = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+        begin = self.bounds[:-1][of] + np.minimum(number * ITEM_STEP, np.maximum(sizes[of] - PASSAGE, 0))
+        upto = np.concatenate([np.zeros((1, weighted.shape[1])), np.cumsum(weighted[features(self.hashes)], axis=0, dtype=np.float64)])
+        vectors = unit((upto[np.minimum(begin + PASSAGE, self.bounds[1:][of])] - upto[begin]).astype(np.float32))
+        self.centroids = centroids(vectors, max(1, round(len(vectors) ** 0.5)))
+        cell = (vectors @ self.centroids.T).argmax(axis=1) if len(vectors) else np.empty(0, np.int64)
+        order = np.argsort(cell, kind="stable")
+        self.vectors, self.of = vectors[order], of[order]
+        self.cells = np.searchsorted(cell[order], np.arange(len(self.centroids) + 1))
+        self.grams, self.gram_bounds = distinct_grams(self.hashes, self.bounds, shingle)
+
+    def near(self, vectors: np.ndarray, probed: float, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs ``(vector, item, cosine)`` of at least that cosine, in the ``probed`` share of the cells nearest to each vector."""
+        if not len(vectors) or not len(self.vectors):
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
+        close = vectors @ self.centroids.T
+        n = min(close.shape[1], max(4, int(np.ceil(probed * close.shape[1]))))
+        least = -np.partition(-close, n - 1, axis=1)[:, n - 1]
+        rows, items, scores = [], [], []
+        for k in range(close.shape[1]):
+            low, high = self.cells[k], self.cells[k + 1]
+            some = np.flatnonzero(close[:, k] >= least)
+            if low == high or not len(some):
+                continue
+            score = vectors[some] @ self.vectors[low:high].T
+            hit, at = np.nonzero(score >= cosine)
+            rows.append(some[hit])
+            items.append(self.of[low:high][at])
+            scores.append(score[hit, at])
+        if not rows:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
+        return np.concatenate(rows), np.concatenate(items), np.concatenate(scores)
+
+
+def candidates(hashes: np.ndarray, bounds: np.ndarray, index: ItemIndex, weighted: np.ndarray, probed: float, cosine: float) -> tuple[np.ndarray, ...]:
+    """Candidate pairs of a batch of texts: text, item, best cosine, and the word that the best passage begins with."""
     starts, owner = blocks(bounds)
-    first = passages(starts, owner)
-    of = owner[first]
-    best = np.full((n, m), -1.0, np.float32)
-    window = np.zeros((n, m, 2), np.int32)
-    full = np.flatnonzero(np.diff(np.append(items.at, len(items.of))) > 0)
-    words = features(hashes)
-    edges = np.append(starts, len(hashes))
-    for low in range(0, len(first), 2000):  # a part of the passages at a time, however long a text is
-        some = first[low : low + 2000]
+    first = passages(owner)
+    words, edges = features(hashes), np.append(starts, len(hashes))
+    found = []
+    for low in range(0, len(first), 20_000):  # a part of the passages at a time, however long a text is
+        some = first[low : low + 20_000]
         a, b = some[0], min(some[-1] + 2, len(starts))
         vectors = unit(passage_vectors(words[edges[a] : edges[b]], starts[a:b] - starts[a], owner[a:b], some - a, weighted))
-        score = vectors @ items.vectors.T
-        top = np.full((len(some), m), -1.0, np.float32)
-        top[:, full] = np.maximum.reduceat(score, items.at[full], axis=1)
-        docs, begin = np.unique(of[low : low + 2000], return_index=True)
-        over = np.maximum.reduceat(top, begin, axis=0)
-        better = over > best[docs]
-        for d, t in zip(*np.nonzero(better & (over >= near))):
-            end = begin[d + 1] if d + 1 < len(begin) else len(some)
-            k = begin[d] + int(top[begin[d] : end, t].argmax())
-            window[docs[d], t] = (low + k, items.at[t] + int(score[k, items.at[t] : items.at[t + 1] if t + 1 < m else None].argmax()))
-        best[docs] = np.maximum(best[docs], over)
-    candidate = best >= cosine
-    # n-grams of items that stand in the texts of this part
-    grams, owner_of = batch_grams(hashes, bounds, shingle)
-    known = np.unique(items.grams)
-    inside = known[np.minimum(np.searchsorted(known, grams), len(known) - 1)] == grams if len(known) else np.zeros(len(grams), bool)
-    pairs = np.unique(np.stack([owner_of[inside].astype(np.uint64), grams[inside]], axis=1), axis=0)
-    lo, hi = np.searchsorted(items.grams, pairs[:, 1]), np.searchsorted(items.grams, pairs[:, 1], "right")
-    doc = np.repeat(pairs[:, 0].astype(np.int64), hi - lo)
-    place = np.repeat(lo, hi - lo) + np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
-    shared = np.bincount(doc * m + items.gram_item[place], minlength=n * m).reshape(n, m)
-    keep = candidate & ((shared > 0) | (best >= near))
-    docs, its = np.nonzero(keep)
-    lcs = np.full(len(docs), np.nan)
-    answer = np.full(len(docs), np.nan)
-    look = np.flatnonzero(best[docs, its] >= near)
-    if len(look):
-        longest = 2 * BLOCK
-        x, y = np.zeros((len(look), longest), np.uint64), np.zeros((len(look), longest), np.uint64)
-        for row, k in enumerate(look):
-            w, v = window[docs[k], its[k]]
-            for target, source, s, f, o in ((x, hashes, edges, first[w], owner), (y, items.hashes, np.append(items.starts, len(items.hashes)), items.first[v], items.owner)):
-                end = s[f + 2] if f + 1 < len(o) and o[f + 1] == o[f] else s[f + 1]
-                piece = source[s[f] : end]
-                target[row, : len(piece)] = piece
-        lcs[look] = common_subsequence(x, y) / (y > 0).sum(axis=1)
-        for k in look:
-            own = hashes[bounds[docs[k]] : bounds[docs[k] + 1]]
-            asked = items.hashes[items.bounds[its[k]] : items.bounds[its[k] + 1]]
-            asked = np.unique(asked[weight[features(asked)] >= rare])
-            answer[k] = np.isin(asked, own).mean() if len(asked) else np.nan
-    return docs, its, best[docs, its], shared[docs, its] / np.maximum(items.n_grams[its], 1), lcs, answer
+        row, item, score = index.near(vectors, probed, cosine)
+        found.append((owner[some[row]], item, score, starts[some[row]]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.int64)
+    doc, item, score, at = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((at, -score, item, doc))
+    doc, item, score, at = doc[order], item[order], score[order], at[order]
+    best = np.ones(len(doc), bool)
+    best[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
+    return doc[best], item[best], score[best], at[best]
+
+
+def checked(hashes: np.ndarray, bounds: np.ndarray, index: ItemIndex, pairs: tuple[np.ndarray, ...], weight: np.ndarray, shingle: int, enough: float, near: float, rare: float) -> tuple[np.ndarray, ...]:
+    """Containment of the item in the document for each candidate; where that isn't ``enough`` and the cosine ``near``, common subsequence and answer words."""
+    doc, item, score, at = pairs
+    wanted = np.unique(doc)
+    sizes = np.diff(bounds)[wanted]
+    word = np.repeat(bounds[:-1][wanted], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    grams, edges = distinct_grams(hashes[word], np.concatenate([[0], np.cumsum(sizes)]), shingle)
+    place = np.searchsorted(wanted, doc)
+    contained, lcs, answer = np.zeros(len(doc)), np.full(len(doc), np.nan), np.full(len(doc), np.nan)
+    for k in range(len(doc)):
+        own = grams[edges[place[k]] : edges[place[k] + 1]]
+        asked = index.grams[index.gram_bounds[item[k]] : index.gram_bounds[item[k] + 1]]
+        if len(own) and len(asked):
+            there = np.minimum(np.searchsorted(own, asked), len(own) - 1)
+            contained[k] = (own[there] == asked).mean()
+        if contained[k] < enough and score[k] >= near:
+            asked = index.hashes[index.bounds[item[k]] : index.bounds[item[k] + 1]]
+            low, high = bounds[doc[k]], bounds[doc[k] + 1]
+            # the item may begin and end anywhere around the passage that met it
+            lcs[k] = common_subsequence(asked, hashes[max(low, at[k] - len(asked)) : min(high, at[k] + PASSAGE + len(asked))]) / len(asked)
+            said = np.unique(asked[weight[features(asked)] >= rare])
+            answer[k] = np.isin(said, hashes[low:high]).mean() if len(said) else np.nan
+    return contained, lcs, answer
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, doc_col: str, text_col: str, item_col: str, item_text_col: str, shingle: int = 5,
-          containment: float = 0.4, cosine: float = 0.3, near: float = 0.8, lcs: float = 0.6, block: int = 2000,
+          containment: float = 0.4, cosine: float = 0.65, probed: float = 0.2, near: float = 0.8, lcs: float = 0.6, part_words: int = 1_000_000,
           rare_share_inverse: float = 100) -> DataFrame:
     """Documents that carry evaluation items, fully or in part.
 
-    ``(doc_id, item_id, kind, cosine, containment, lcs, answer)``. ``kind`` is ``full`` or
+    ``(doc_id, item_id, kind, cosine, containment, lcs, answer)``. A candidate is a pair with a
+    passage of ``PASSAGE`` words each whose latent cosine is at least ``cosine``, met in the
+    ``probed`` share of the cells nearest to the document's passage. ``kind`` is ``full`` or
     ``partial`` when all or at least ``containment`` of the item's distinct ``shingle``-grams
-    of folded words stand in the document; else ``paraphrase`` when two passages have a latent
-    cosine of ``near``, share a common subsequence of ``lcs`` of the item's passage, and half
-    of the item's rare words (in less than one block in ``rare_share_inverse``) stand in the
-    document. ``cosine`` is the candidates' least latent
-    cosine. Items are taken ``block`` at a time.
+    of folded words stand in the document; else ``paraphrase`` when the cosine is ``near`` or more,
+    the item has a common subsequence of ``lcs`` of its words with the text around the
+    passage, and half of its rare words (in less than one block in ``rare_share_inverse``)
+    stand in the document. Documents are scanned once for every ``part_words`` words of items.
 
     Null and empty texts have no words and match nothing, and so do items of fewer words than
     a shingle (but for paraphrases). Repeated rows give repeated rows. Columns besides the
@@ -254,24 +277,27 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_col: str, text_col: st
     asked = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[item_text_col].alias("text")).where("item_id is not null and text is not null")
     spark = documents.sparkSession
     weight = word_weights(texts.select("text"))
-    weighted = latent_basis(texts.select("text"), weight) * weight[:, None]
+    sharp = weight**SHARPNESS
+    weighted = latent_basis(texts.select("text"), sharp) * sharp[:, None]
     rare = float(np.log(rare_share_inverse))
     schema = "doc_id long, item_id long, cosine float, containment double, lcs double, answer double"
-    parts = max(1, -(-asked.count() // block))
+    parts = max(1, -(-(asked.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0) // part_words))
     out = spark.createDataFrame([], schema)
     for k in range(parts):
         rows = asked.where(F.expr(f"pmod(xxhash64(item_id), {parts}) = {k}")).orderBy("item_id").collect()
         if not rows:
             continue
-        sent = spark.sparkContext.broadcast((_Items([r.item_id for r in rows], [r.text for r in rows], shingle, weighted), weighted, weight))
+        sent = spark.sparkContext.broadcast((ItemIndex([r.item_id for r in rows], [r.text for r in rows], shingle, weighted), weighted, weight))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items, weighted, weight = sent.value
+            index, weighted, weight = sent.value
             for part in slices(batches, _ROWS):
-                docs, its, *values = _found(part, items, weighted, weight, shingle, cosine, near, rare)
+                hashes, bounds = word_hashes(part.column("text").to_pylist())
+                pairs = candidates(hashes, bounds, index, weighted, probed, cosine)
+                values = checked(hashes, bounds, index, pairs, weight, shingle, containment, near, rare)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(docs)), pa.array(items.ids[its], pa.int64()), pa.array(values[0], pa.float32()),
-                     *[pa.array(v, pa.float64(), from_pandas=True) for v in values[1:]]],
+                    [part.column("doc_id").take(pa.array(pairs[0])), pa.array(index.ids[pairs[1]], pa.int64()), pa.array(pairs[2], pa.float32()),
+                     *[pa.array(v, pa.float64(), from_pandas=True) for v in values]],
                     ["doc_id", "item_id", "cosine", "containment", "lcs", "answer"],
                 )
 

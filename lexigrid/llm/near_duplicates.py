@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions.text import distinct_grams, mix64, word_hashes
 from lexigrid.llm.shingles import exact_overlap, jaccard_at_least, slices
+from lexigrid.operators.blocks import expanded, pairs_within
 from lexigrid.operators.components import connected_components
 from lexigrid.session import scratch, spread
 
@@ -117,31 +118,6 @@ def signatures(texts: DataFrame, n: int, min_words: int) -> DataFrame:
     return texts.mapInArrow(run, "id long, digest binary, n int, regs binary")
 
 
-def band_pairs(bands: DataFrame, block: int = 512) -> DataFrame:
-    """Distinct pairs ``(id_a, id_b)`` of rows ``(key, id)`` that share a key.
-
-    Keys that occur once go before the join. A key with more than ``block`` members is cut into
-    blocks, and every two of its blocks meet in a join key of their own, so that no task gets
-    a hot key whole.
-    """
-    shared = bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    sized = (
-        bands.join(shared, "key")
-        .withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
-        .withColumn("blk", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
-        .select("key", "id", "blocks", "blk")
-    )
-    sized = scratch(sized, "bands")  # both sides of the join below
-    left = sized.select("key", "id", F.col("blk").alias("lo"), F.explode(F.expr("sequence(blk, blocks - 1)")).alias("hi"))
-    right = sized.select("key", F.col("id").alias("other"), F.explode(F.expr("sequence(0, blk)")).alias("lo"), F.col("blk").alias("hi"))
-    return (
-        left.join(right, ["key", "lo", "hi"])
-        .where("id <> other and (lo < hi or id < other)")
-        .select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"))
-        .distinct()
-    )
-
-
 def estimated(pairs: DataFrame, sigs: DataFrame, threshold: float, sigmas: float = 4.0) -> DataFrame:
     """The pairs whose corrected estimate is not more than ``sigmas`` standard errors too low."""
     chance = chance_table()
@@ -208,20 +184,20 @@ class NearDuplicates:
                 ids = np.repeat(part.column("id").to_numpy(), found.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(ids)], ["key", "id"])
 
-        pairs = band_pairs(sigs.select("id", "regs").mapInArrow(keys, "key long, id long"))
+        pairs = pairs_within(sigs.select("id", "regs").mapInArrow(keys, "key long, id long")).distinct()
         close = estimated(pairs, sigs, threshold).groupBy("id_a", "id_b").agg(F.max("estimate").alias("estimate"))
         close = scratch(close, "close")
         self.links = scratch(exact_overlap(close, texts, shingle).where(jaccard_at_least(threshold)), "links")
 
     def pairs(self) -> DataFrame:
-        """Every pair ``(id_a, id_b)`` of near duplicates, exact copies among them, ``id_a < id_b``."""
-        a = self.members.select(F.col("id").alias("x"), F.col("rep").alias("id_a"))
-        b = self.members.select(F.col("id").alias("y"), F.col("rep").alias("id_b"))
-        across = self.links.select("id_a", "id_b").join(a, "id_a").join(b, "id_b")
-        within = a.join(b, a.id_a == b.id_b).where("x < y")
-        return across.select("x", "y").union(within.select("x", "y")).select(
-            F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")
-        )
+        """Every pair ``(id_a, id_b)`` of near duplicates, exact copies among them, ``id_a < id_b``.
+
+        Members of a class meet in blocks, so that a class of any size is spread.
+        """
+        of = self.members.select(F.col("rep").alias("key"), "id")
+        within = pairs_within(of)
+        across = expanded(self.links.select("id_a", "id_b", F.struct("id_a", "id_b").alias("link")), of.withColumnRenamed("id", "a"), of.withColumnRenamed("id", "b"))
+        return within.union(across.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")))
 
     def groups(self) -> DataFrame:
         """``(id, group_id, n_links)``: a row per text; links are those of its class to other classes."""

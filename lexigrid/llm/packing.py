@@ -3,8 +3,9 @@
 A configuration linear program over the histogram of sizes: how often to use which pattern of
 sizes, so that all items are covered by the fewest containers. It is solved by multiplicative
 weights, where each round prices patterns by an exact knapsack over the capacity; patterns are
-rounded down and what is left goes first-fit decreasing. The program's size follows from the
-capacity, not from the number of items: Spark counts the items, numbers them within their size
+rounded down, filled up, and what is left goes first-fit decreasing. The prices also prove how
+many containers any packing needs. Where first-fit decreasing alone needs fewer than the rounded
+program, it stands instead. The program's size follows from the capacity, not from the number of items: Spark counts the items, numbers them within their size
 and looks their container up in the rounded patterns.
 """
 
@@ -12,10 +13,12 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +32,14 @@ SALTS = 64
 
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``(id, n_tokens)``; null texts have none."""
+    """``(id, n_tokens)``; null texts have none. The driver's file ``vocabulary`` is sent to all tasks."""
+    df.sparkSession.sparkContext.addFile(vocabulary)
+    name = Path(vocabulary).name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        with open(vocabulary, "rb") as lines:
+        with open(SparkFiles.get(name), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         coder = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for part in slices(batches):
@@ -69,73 +74,107 @@ def best_pattern(sizes: np.ndarray, price: np.ndarray, capacity: int) -> np.ndar
     return out
 
 
-def fractional_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, rate: float = 12.0, step: float = 0.5) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often to use them, by multiplicative weights over the sizes' coverage."""
-    covered = np.zeros(len(sizes))
+def fractional_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, rate: float = 1.0, step: float = 0.5) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """Patterns and how often to use them, by multiplicative weights over the sizes' coverage; and a bound.
+
+    Prices under which no pattern is worth more than 1 show that as many containers are needed
+    as all items together are worth. The bound is the best that a round's prices or the later
+    rounds' mean prices show.
+    """
+    covered, bound, mean = np.zeros(len(sizes)), 0.0, np.zeros(len(sizes))
     used: dict[bytes, float] = {}
-    for _ in range(rounds):
+    for k in range(rounds):
         share = covered / demand
         # sizes that are covered less than others weigh more; per item, so that prices add up in a container
         price = np.exp(-rate * (share - share.min())) * sizes
-        pattern = np.minimum(best_pattern(sizes, price, capacity), np.ceil(demand).astype(np.int64))
+        pattern = best_pattern(sizes, price, capacity)
+        bound = max(bound, float(demand @ price / (pattern @ price)))
+        mean += price / (pattern @ price) * (k >= rounds // 2)
+        pattern = np.minimum(pattern, np.ceil(demand).astype(np.int64))
         some = pattern > 0
         times = step * (demand[some] / pattern[some]).min()
         covered += times * pattern
         used[pattern.tobytes()] = used.get(pattern.tobytes(), 0.0) + times
+    bound = max(bound, float(demand @ mean / (best_pattern(sizes, mean, capacity) @ mean)))
     scale = max((covered * sizes).sum() / (demand * sizes).sum(), 1e-9)
-    return [(np.frombuffer(p, np.int64), x / scale) for p, x in used.items()]
+    return [(np.frombuffer(p, np.int64), x / scale) for p, x in used.items()], bound
 
 
-def pack(sizes: np.ndarray, counts: np.ndarray, capacity: int, effort: float = 2.0) -> list[tuple[int, int, int, int, int]]:
-    """Rows ``(size, low, high, per, first)``: items ``low <= number < high`` of a size lie ``per``
-    to a container, beginning with container ``first``."""
-    order = np.argsort(sizes)
-    sizes, left = sizes[order].astype(np.int64), counts[order].astype(np.int64)
-    placed = np.zeros(len(sizes), np.int64)
-    rows: list[tuple[int, int, int, int, int]] = []
-    container = 0
+class _Containers:
+    """Containers filled so far, and how many items of each size are left."""
 
-    def put(pattern: np.ndarray, times: int) -> None:
-        nonlocal container
+    def __init__(self, sizes: np.ndarray, counts: np.ndarray, capacity: int):
+        self.sizes, self.left, self.capacity = sizes, counts.copy(), capacity
+        self.placed = np.zeros(len(sizes), np.int64)
+        self.rows: list[tuple[int, int, int, int, int]] = []
+        self.n = 0
+
+    def put(self, pattern: np.ndarray, times: int) -> None:
         for k in np.flatnonzero(pattern):
             n = int(pattern[k]) * times
-            rows.append((int(sizes[k]), int(placed[k]), int(placed[k]) + n, int(pattern[k]), container))
-            placed[k] += n
-            left[k] -= n
-        container += times
-
-    whole = sizes == capacity
-    if whole.any() and left[whole][0]:
-        put(whole.astype(np.int64), int(left[whole][0]))
-    small = (left > 0) & (sizes < capacity)
-    if left[small].sum() > 50:
-        s, n = sizes[small], left[small].astype(float)
-        each = max(1.0, capacity / ((s * n).sum() / n.sum()))
-        patterns = fractional_patterns(s, n, capacity, int(max(50, effort * len(s) / each)))
-        for pattern, x in sorted(patterns, key=lambda p: -p[1]):
-            full = np.zeros(len(sizes), np.int64)
-            full[small] = pattern
-            used = full > 0
-            times = int(min(np.floor(x), (left[used] // full[used]).min()))
-            # a pattern that leaves much room is left to the next step, which may fill it better
-            if times > 0 and (full * sizes).sum() >= 0.999 * capacity:
-                put(full, times)
-    while left.any():
-        pattern = np.zeros(len(sizes), np.int64)
-        room = capacity
-        k = len(sizes)
+            self.rows.append((int(self.sizes[k]), int(self.placed[k]), int(self.placed[k]) + n, int(pattern[k]), self.n))
+            self.placed[k] += n
+            self.left[k] -= n
+        self.n += times
+
+    def filled(self, pattern: np.ndarray, times: int) -> np.ndarray:
+        """The pattern with the largest items that still fit, where there are enough for all its containers."""
+        pattern, room = pattern.copy(), self.capacity - int(pattern @ self.sizes)
+        most = self.left // times - pattern
+        k = len(self.sizes)
         while room > 0:
-            k = min(k, int(np.searchsorted(sizes, room, "right")))
-            fits = np.flatnonzero(left[:k] > pattern[:k])
+            k = min(k, int(np.searchsorted(self.sizes, room, "right")))
+            fits = np.flatnonzero(most[:k] > 0)
             if not len(fits):
                 break
             k = int(fits[-1])
-            take = int(min(left[k] - pattern[k], room // sizes[k]))
+            take = int(min(most[k], room // self.sizes[k]))
             pattern[k] += take
-            room -= take * int(sizes[k])
-        used = pattern > 0
-        put(pattern, int((left[used] // pattern[used]).min()))
-    return rows
+            most[k] -= take
+            room -= take * int(self.sizes[k])
+        return pattern
+
+    def first_fit(self) -> _Containers:
+        """All that is left, largest first."""
+        while self.left.any():
+            pattern = self.filled(np.zeros(len(self.sizes), np.int64), 1)
+            used = pattern > 0
+            self.put(pattern, int((self.left[used] // pattern[used]).min()))
+        return self
+
+
+def solved(sizes: np.ndarray, counts: np.ndarray, capacity: int, effort: float = 2.0) -> tuple[_Containers, int, int]:
+    """The containers, a number that any packing needs, and how many first-fit decreasing takes."""
+    order = np.argsort(sizes)
+    sizes, counts = sizes[order].astype(np.int64), counts[order].astype(np.int64)
+    plain = _Containers(sizes, counts, capacity).first_fit()
+    whole = sizes == capacity
+    small = (counts > 0) & ~whole
+    least = int(counts[whole].sum())
+    if not small.any():
+        return plain, least, plain.n
+    out = _Containers(sizes, counts, capacity)
+    if least:
+        out.put(whole.astype(np.int64), least)
+    s, n = sizes[small], counts[small].astype(float)
+    each = max(1.0, capacity / ((s * n).sum() / n.sum()))
+    rounds = max(50, min(400, 400_000 // capacity), effort * len(s) / each)
+    patterns, bound = fractional_patterns(s, n, capacity, int(rounds))
+    for pattern, x in sorted(patterns, key=lambda p: -p[1]):
+        full = np.zeros(len(sizes), np.int64)
+        full[small] = pattern
+        used = full > 0
+        times = int(min(np.floor(x), (out.left[used] // full[used]).min()))
+        if times > 0:
+            out.put(out.filled(full, times), times)
+    out.first_fit()
+    return out if out.n <= plain.n else plain, least + int(np.ceil(bound - 1e-6)), plain.n
+
+
+def pack(sizes: np.ndarray, counts: np.ndarray, capacity: int, effort: float = 2.0) -> list[tuple[int, int, int, int, int]]:
+    """Rows ``(size, low, high, per, first)``: items ``low <= number < high`` of a size lie ``per``
+    to a container, beginning with container ``first``."""
+    return solved(sizes, counts, capacity, effort)[0].rows
 
 
 class Packing:
@@ -167,22 +206,24 @@ class Packing:
         counts = scratch(pieces.groupBy("container_kind", "capacity", "size", "salt").agg(F.count("*").alias("n")), "counts")
         offsets = counts.withColumn(
             "offset", F.expr("sum(n) over (partition by container_kind, size order by salt) - n")
-        ).select("container_kind", "size", "salt", "offset")
+        ).select("container_kind", "size", "salt", "offset", "n")
         histogram = counts.groupBy("container_kind", "capacity", "size").agg(F.sum("n").alias("n"))
 
         def solve(group: pd.DataFrame) -> pd.DataFrame:
-            rows = pack(group["size"].to_numpy(), group["n"].to_numpy(), int(group["capacity"].iloc[0]))
-            out = pd.DataFrame(rows, columns=["size", "low", "high", "per", "first"])
-            return out.assign(container_kind=group["container_kind"].iloc[0])
+            containers, bound, plain = solved(group["size"].to_numpy(), group["n"].to_numpy(), int(group["capacity"].iloc[0]))
+            out = pd.DataFrame(containers.rows, columns=["size", "low", "high", "per", "first"])
+            return out.assign(container_kind=group["container_kind"].iloc[0], bound=bound, first_fit=plain)
 
         self.plan = scratch(
-            histogram.repartition(16, "container_kind").groupBy("container_kind").applyInPandas(solve, "size int, low long, high long, per long, first long, container_kind string"), "plan"
+            histogram.repartition(16, "container_kind").groupBy("container_kind").applyInPandas(solve, "size int, low long, high long, per long, first long, container_kind string, bound long, first_fit long"), "plan"
+        )
+        # an item meets only the rows of the plan that reach into its part
+        ranges = offsets.join(self.plan, ["container_kind", "size"]).where("low < offset + n and high > offset").select(
+            "container_kind", "size", "salt", "offset", "low", "high", "per", "first"
         )
-        numbered = pieces.withColumn(
-            "place", F.expr("row_number() over (partition by container_kind, size, salt order by id, piece_no) - 1")
-        ).join(offsets, ["container_kind", "size", "salt"]).withColumn("number", F.expr("offset + place"))
         self.items = (
-            numbered.join(self.plan, ["container_kind", "size"]).where("number >= low and number < high")
+            pieces.withColumn("place", F.expr("row_number() over (partition by container_kind, size, salt order by id, piece_no) - 1"))
+            .join(ranges, ["container_kind", "size", "salt"]).withColumn("number", F.expr("offset + place")).where("number >= low and number < high")
             .select(
                 "container_kind", F.expr("first + (number - low) div per").alias("container_id"), "id", "piece_no",
                 F.col("first_token").cast("int").alias("first_token"), F.col("size").alias("n_tokens"),
@@ -191,11 +232,16 @@ class Packing:
         self.kinds = kinds
 
     def fill(self) -> DataFrame:
-        """``(container_kind, capacity, n_containers, n_tokens, least_containers, fill)`` by kind."""
+        """``(container_kind, capacity, n_containers, n_tokens, least_containers, first_fit, fill)`` by kind.
+
+        ``least_containers`` is what any packing needs, by the program's prices or the sum of
+        all tokens; ``first_fit`` what first-fit decreasing alone would take.
+        """
         per = self.items.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("tokens"))
+        shown = self.plan.groupBy("container_kind").agg(F.max("bound").alias("bound"), F.max("first_fit").alias("first_fit"))
         return (
             per.groupBy("container_kind").agg(F.count("*").alias("n_containers"), F.sum("tokens").alias("n_tokens"))
-            .join(self.kinds, "container_kind")
-            .select("container_kind", "capacity", "n_containers", "n_tokens", F.expr("ceil(n_tokens / capacity)").alias("least_containers"),
+            .join(self.kinds, "container_kind").join(shown, "container_kind")
+            .select("container_kind", "capacity", "n_containers", "n_tokens", F.greatest("bound", F.expr("ceil(n_tokens / capacity)")).alias("least_containers"), "first_fit",
                     F.expr("n_tokens / (n_containers * capacity)").alias("fill"))
         )

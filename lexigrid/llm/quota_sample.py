@@ -110,7 +110,6 @@ class QuotaSample:
             .withColumn("eligible", F.lit(eligible).cast("long"))
             .withColumn("total", F.expr("eligible * sample_pct div 100"))
             .withColumn("need", F.expr("greatest(cast(min_rows as long), total * share_pct div 100)"))
-            .withColumn("short", F.expr("available < need"))
         )
 
     def _keyed(self, cells: DataFrame) -> DataFrame:
@@ -122,7 +121,8 @@ class QuotaSample:
         )
 
     def _plan(self) -> DataFrame:
-        rated = self.cells.groupBy("request_id").applyInPandas(self._rates, self.cells.schema.simpleString()[7:-1] + ", rate double")
+        added = ", rate double, source_residual double, band_residual double"
+        rated = self.cells.groupBy("request_id").applyInPandas(self._rates, self.cells.schema.simpleString()[7:-1] + added)
         bins = self._keyed(self.targets.select(*_CELL, "min_words", "max_words")).groupBy(*_CELL, "bin").agg(F.count("*").alias("n"))
         heights = bins.groupBy(_CELL).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("heights"))
         joined = rated.join(heights, _CELL, "left")
@@ -137,7 +137,9 @@ class QuotaSample:
         fitted = rake(available, *codes, wanted)
         # with keys -ln(u) / rate below 1, a row of the cell is drawn with the fitted probability
         share = np.divide(fitted, available, out=np.zeros_like(fitted), where=available > 0)
-        return cells.assign(rate=-np.log1p(-np.minimum(share, 1 - 1e-12)))
+        # what raking leaves between the margins of a cell's source and band and those wanted
+        left = [(np.bincount(c, fitted) - np.bincount(c, wanted))[c] for c in codes]
+        return cells.assign(rate=-np.log1p(-np.minimum(share, 1 - 1e-12)), source_residual=left[0], band_residual=left[1])
 
     @staticmethod
     def _quotas(cells: pd.DataFrame) -> pd.DataFrame:
@@ -167,10 +169,15 @@ class QuotaSample:
         return cells.drop(columns="heights").assign(drawn=drawn, sampled=take, last_bin=np.where(take > 0, last, -1), of_last=np.where(take > 0, take - below, 0))
 
     def report(self) -> DataFrame:
-        """Target cells with ``available, total, need, short, rate, drawn, sampled, gap``."""
+        """Target cells with what was asked, found and sampled.
+
+        ``gap`` is what a cell's sample lacks of its need, ``short`` whether it lacks any, ``surplus`` what it
+        has above its need, which fills up totals that other cells could not. ``source_residual``
+        and ``band_residual`` are the rows by which the raked margins miss the wanted ones.
+        """
         return self.plan.select(
-            *_CELL, "min_words", "max_words", "share_pct", "min_rows", "available", "total", "need", "short", "rate", "drawn",
-            "sampled", F.expr("greatest(need - sampled, 0)").alias("gap"),
+            *_CELL, "min_words", "max_words", "share_pct", "min_rows", "available", "total", "need", F.expr("sampled < need").alias("short"), "rate",
+            "drawn", "sampled", F.expr("greatest(need - sampled, 0)").alias("gap"), F.expr("greatest(sampled - need, 0)").alias("surplus"), "source_residual", "band_residual",
         )
 
     def sample(self) -> DataFrame:

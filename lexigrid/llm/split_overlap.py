@@ -13,21 +13,21 @@ size is fixed tells; it decides what the search costs and never what it finds.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.functions.text import batch_grams, distinct_grams, folded_words, mix64, word_hashes
 from lexigrid.llm.shingles import exact_overlap, jaccard_at_least, slices
+from lexigrid.llm.sums import SCHEMA, pieces, tree_sum
+from lexigrid.operators.blocks import expanded, meet
 from lexigrid.session import scratch, spread
 
 CELLS = 1 << 22
-_CHUNK = 1 << 16
+_CHUNKS = 64
 #: Bits of an n-gram's hash that are kept.
 _BITS = 48
 #: Texts of a frequent n-gram that meet in one join key.
@@ -52,18 +52,10 @@ def frequency_table(texts: DataFrame, n: int) -> np.ndarray:
         for part in slices(batches):
             grams, _ = batch_grams(*word_hashes(part.column("text").to_pylist()), n)
             np.add.at(table, _cell(_kept_bits(grams)), 1)
-        chunks = table.reshape(-1, _CHUNK)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in chunks], pa.binary())], ["chunk", "counts"])
+        yield pieces(table, _CHUNKS)
 
-    def add(parts: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(_CHUNK, np.int64)
-        for c in parts["counts"]:
-            total += np.frombuffer(zlib.decompress(c), np.int32)
-        return pd.DataFrame({"chunk": parts["chunk"][:1], "counts": [zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)]})
-
-    schema = "chunk int, counts binary"
-    rows = texts.select("text").mapInArrow(count, schema).groupBy("chunk").applyInPandas(add, schema).orderBy("chunk").collect()
-    return np.concatenate([np.frombuffer(zlib.decompress(r.counts), np.int32) for r in rows]) if rows else np.zeros(CELLS, np.int32)
+    total = tree_sum(texts.select("text").mapInArrow(count, SCHEMA), "i4")
+    return np.minimum(total, 2**31 - 1).astype(np.int32) if len(total) else np.zeros(CELLS, np.int32)
 
 
 def prefixes(texts: list[str | None], n: int, thousandths: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,18 +188,22 @@ class SplitOverlap:
 
     @property
     def pairs(self) -> DataFrame:
-        held = self.members.where("split <> 'train'").select(F.col("id").alias("eval_id"), "split", F.col("rep").alias("id_a"))
-        train = self.members.where("split = 'train'").select(F.col("id").alias("train_id"), F.col("rep").alias("id_b"))
-        columns = ["eval_id", "train_id", "split", "reason", "containment", "similarity"]
-        near = self.links.join(held, "id_a").join(train, "id_b").withColumn("reason", F.lit("text"))
-        same = held.join(train, held.id_a == train.id_b).withColumns({"reason": F.lit("text"), "containment": F.lit(1.0), "similarity": F.lit(1.0)})
+        # copies of one text, and records of one title, meet in blocks
+        evaluation = lambda rows, key: rows.where("split <> 'train'").select(F.col(key).alias("key"), F.struct("id", "split").alias("a"))
+        training = lambda rows, key: rows.where("split = 'train'").select(F.col(key).alias("key"), F.col("id").alias("b"))
+        measures = ("containment", "similarity")
+        columns = [F.col("a.id").alias("eval_id"), F.col("b").alias("train_id"), F.col("a.split").alias("split")]
+        link = F.struct("id_a", "id_b", *measures).alias("link")
+        near = expanded(self.links.select("id_a", "id_b", link), evaluation(self.members, "rep"), training(self.members, "rep"))
+        same = meet(evaluation(self.members, "rep"), training(self.members, "rep"))
         named = self.records.where("title_key is not null")
-        titles = (
-            named.where("split <> 'train'").select(F.col("id").alias("eval_id"), "split", "title_key")
-            .join(named.where("split = 'train'").select(F.col("id").alias("train_id"), "title_key"), "title_key")
-            .withColumns({"reason": F.lit("title"), "containment": F.lit(None).cast("double"), "similarity": F.lit(None).cast("double")})
+        titles = meet(evaluation(named, "title_key"), training(named, "title_key"))
+        text, title = F.lit("text").alias("reason"), F.lit("title").alias("reason")
+        return (
+            near.select(*columns, text, *[F.col(f"link.{m}").alias(m) for m in measures])
+            .union(same.select(*columns, text, *[F.lit(1.0).alias(m) for m in measures]))
+            .union(titles.select(*columns, title, *[F.lit(None).cast("double").alias(m) for m in measures]))
         )
-        return near.select(columns).union(same.select(columns)).union(titles.select(columns))
 
 
 def latest_splits(manifest: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from lexigrid.llm.packing import Packing, pack, token_counts
 from lexigrid.llm.quota_sample import QuotaSample, rake, repair
 from lexigrid.llm.split_overlap import SplitOverlap, latest_splits
 from lexigrid.llm.splitting import RangeMaximum, cuts, split_oversized, strengths
-from lexigrid.llm.truncation import CLOSED, DOUBTFUL, OPEN, Truncation, ending, poisson_tail
+from lexigrid.llm.truncation import STRUCTURAL, Truncation, bare, double_quoted, places, poisson_head, poisson_tail
 
 VOCABULARY = [f"w{k}" for k in range(400)]
 RUNS = re.compile(r"[^\W_]+")
@@ -79,12 +79,12 @@ def test_near_duplicates_of_odd_input(spark):
     assert empty.pairs().count() == empty.groups().count() == 0
 
 
-def test_hot_band_is_cut_into_blocks(spark):
-    from lexigrid.llm.near_duplicates import band_pairs
-
-    bands = spark.range(50).selectExpr("cast(1 as bigint) as key", "id").union(spark.range(2).selectExpr("cast(2 as bigint) as key", "id + 100 as id"))
-    pairs = {(r.id_a, r.id_b) for r in band_pairs(bands, block=7).collect()}
-    assert pairs == {(a, b) for b in range(50) for a in range(b)} | {(100, 101)}
+def test_a_large_class_of_copies_is_paired_in_blocks(spark):
+    text, other = " ".join(VOCABULARY[:40]), " ".join([*VOCABULARY[:38], "x", "y"])
+    df = spark.createDataFrame([(k, text) for k in range(530)] + [(1000 + k, other) for k in range(3)], "doc long, body string")
+    found = NearDuplicates(df, "doc", "body", 3, 0.5)
+    pairs = found.pairs()
+    assert pairs.count() == pairs.distinct().count() == 533 * 532 // 2 and pairs.where("id_a >= id_b").count() == 0
 
 
 def test_registers_match_as_often_as_sets_are_alike():
@@ -111,6 +111,7 @@ def test_quota_sample_meets_what_can_be_met(spark):
     q = QuotaSample(rows, df)
     report = {(r.source, r.band): r for r in q.report().collect()}
     sample = q.sample().collect()
+    assert all(r.surplus == max(r.sampled - r.need, 0) and abs(r.source_residual) < 1e-6 and abs(r.band_residual) < 1e-6 for r in report.values())
     assert report["b", "hi"].short and report["b", "hi"].gap == 700 - report["b", "hi"].available and report["c", "lo"].short
     assert not report["a", "lo"].short and not report["a", "hi"].short
     assert len(sample) == len({r.id for r in sample})
@@ -253,17 +254,80 @@ def test_latest_splits(spark):
 # 5 truncation
 
 
-@pytest.mark.parametrize(
-    "text, state",
-    [
-        ('[{"a": "b"}]', CLOSED), ('```json\n[{"a": 1}]\n```\n', CLOSED), ('```json\n[{"a": 1}]', OPEN), ('[{"a": "b', OPEN), ('[{"a": {"t": "x"}}', OPEN), ('[{"a": 1},]', CLOSED), ("[]", CLOSED),
-        ('[{"a": "one ] two.', OPEN), ("[{'a': 'it\\'s'}]", CLOSED), ('[{"a": 1}}]', CLOSED), ('[{"a": 1}]\nI read it twice.', CLOSED), ('[{"a": 1}]\nI read it tw', OPEN), ('[{"a": 1}]\n…', OPEN),
-        ('("entity"<|>A<|>geo<|>x)\n<|COMPLETE|>\n', CLOSED), ('("entity"<|>A<|>geo<|>x)\n##', OPEN), ('("enti', OPEN), ("A whole sentence.", CLOSED), ('All is said. ("done")', CLOSED), ("The passage does not na", OPEN),
-        ("The passage does not name any...", OPEN), ("<think>hm.</think>\n[]", CLOSED), ("<think>hm, and", OPEN), ("None", DOUBTFUL),
-    ],
-)
-def test_endings(text, state):
-    assert ending(text) == state
+CLOSED, DOUBTFUL, OPEN = "closed", "doubtful", "open"
+ENDINGS = [
+    ('[{"a": "b"}]', CLOSED), ('```json\n[{"a": 1}]\n```\n', CLOSED), ('```json\n[{"a": 1}]', OPEN), ('[{"a": "b', OPEN), ('[{"a": {"t": "x"}}', OPEN), ('[{"a": 1},]', CLOSED), ("[]", CLOSED),
+    ('[{"a": "one ] two.', OPEN), ("[{'a': 'it\\'s'}]", CLOSED), ('[{"a": 1}}]', CLOSED), ('[{"a": 1}]\nI read it twice.', CLOSED), ('[{"a": 1}]\nI read it tw', OPEN), ('[{"a": 1}]\n…', OPEN),
+    ('("entity"<|>A<|>geo<|>x)\n<|COMPLETE|>\n', CLOSED), ('("entity"<|>A<|>geo<|>x)\n##', OPEN), ('("enti', OPEN), ("A whole sentence.", CLOSED), ('All is said. ("done")', CLOSED), ("The passage does not na", OPEN),
+    ("The passage does not name any...", OPEN), ("<think>hm.</think>\n[]", CLOSED), ("<think>hm, and", OPEN), ("None", DOUBTFUL),
+]
+
+
+def answers(rng, n):
+    """Whole answers of many forms."""
+    word = lambda: rng.choice(VOCABULARY)
+    prose = lambda k: " ".join(f"The {word()} of {word()}, not {word()}, was {word()}." for _ in range(k))
+    out = []
+    for _ in range(n):
+        items = [f'{{"a": {{"t": "{word()}{rng.choice(" .")} {word()}"}}, "w": 0.{rng.randrange(10)}}}' for _ in range(rng.randrange(1, 6))]
+        whole = "[" + ", ".join(items) + "]"
+        records = "\n##\n".join(f'("entity"<|>{word()}<|>geo<|>{prose(1)})' for _ in range(rng.randrange(1, 5)))
+        out.append(rng.choice([
+            whole, whole, f"```json\n{whole}\n```", f"Here is the list:\n```json\n{whole}\n```", f"{whole}\n{prose(1)}", f"<think>{prose(2)}</think>\n{whole}", whole.replace('"', "'"),
+            records + "\n<|COMPLETE|>", prose(3), prose(1) + ' ("done")', "None",
+        ]))
+    return out
+
+
+def test_cut_answers_are_found_by_hazards(spark):
+    rng = random.Random(17)
+    rows = [(k, t, "s" if k % 2 else None, False) for k, t in enumerate(answers(rng, 3000))]
+    rows += [(10_000 + k, t[: rng.randrange(len(t) // 3, len(t) - 4)], "s", True) for k, t in enumerate(answers(rng, 300)) if len(t) > 60]
+    rows += [(20_000 + k, t, "s", state == OPEN) for k, (t, state) in enumerate(ENDINGS)]
+    df = spark.createDataFrame([r[:3] for r in rows], "label long, raw string, src string")
+    found = Truncation(df, "label", "raw", "src")
+    got = {r.id: r for r in found.rows.collect()}
+    assert [t for t, (k, s) in zip(ENDINGS, [(20_000 + k, e) for k, (_, e) in enumerate(ENDINGS)]) if got[k].truncated != (s == OPEN)] == []
+    assert sum(got[r[0]].truncated for r in rows if r[0] < 10_000) == 0
+    cut = [r for r in rows if 10_000 <= r[0] < 20_000]
+    # a cut behind a sentence or a list can't be told from an end
+    assert sum(got[r[0]].truncated for r in cut) >= 0.93 * len(cut)
+    assert {got[r[0]].route for r in cut} <= {"transfer", "limit", None}
+
+
+def test_nothing_is_cut_without_hazards(spark, monkeypatch):
+    from lexigrid.llm import truncation
+
+    rng = random.Random(18)
+    texts = answers(rng, 600) + [t[: len(t) // 2] for t in answers(rng, 60)]
+    df = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "label long, raw string, src string")
+    assert Truncation(df, "label", "raw", "src").rows.where("truncated").count() > 30
+    found = truncation.place_hazards
+    monkeypatch.setattr(truncation, "place_hazards", lambda *a: found(*a).withColumns({"ending": F.lit(False), "passing": F.lit(False)}))
+    lengths = truncation.length_hazards
+    monkeypatch.setattr(truncation, "length_hazards", lambda *a: lengths(*a).withColumn("significant", F.lit(False)))
+    assert Truncation(df, "label", "raw", "src").rows.where("truncated").count() == 0
+
+
+def test_a_limit_decides_where_places_do_not(spark, monkeypatch):
+    from lexigrid.llm import truncation
+
+    found = truncation.place_hazards
+    monkeypatch.setattr(truncation, "place_hazards", lambda *a: found(*a).withColumns({"ending": F.lit(False), "passing": F.lit(False)}))
+    rng = random.Random(19)
+    rows = [(k, "x" * rng.randrange(20, 500), "s") for k in range(400)] + [(1000 + k, "y" * 80 + " \n" * (k % 2), "s") for k in range(40)]
+    got = {r.id: r for r in Truncation(spark.createDataFrame(rows, "label long, raw string, src string"), "label", "raw", "src").rows.collect()}
+    assert {k for k, r in got.items() if r.truncated} == {1000 + k for k in range(40)} | {k for k, t, _ in rows[:400] if len(t) in (80, 82)}
+    assert {r.route for r in got.values()} == {"limit", None}
+
+
+def test_places_of_characters():
+    place, bounds, _ = places(['[{"a": "b)"}] x', 'A "b" c', double_quoted("[{'a': 'b)'}] x"), ""])
+    one, other, single = (place[a : b - 1] for a, b in zip(bounds, bounds[1:4]))
+    assert (one[[6, 13]] == -1).all() and len(set(one[[0, 1, 4, 8, 11, 12, 14]])) == 7
+    assert (one[[0, 1, 11, 12, 14]] == single[[0, 1, 11, 12, 14]]).all()
+    assert (other[[0, 2]] >= STRUCTURAL).sum() == 1 and place[bounds[3]] == -1
+    assert bare("cut ... \n…") == "cut" and bare("x [truncated]") == "x" and bare("…") == ""
 
 
 def test_truncation_finds_limits(spark):
@@ -284,7 +348,16 @@ def test_truncation_finds_limits(spark):
     assert sum(r.n_rows for r in found.rates().collect()) == 3001
 
 
+def test_truncation_of_nothing(spark):
+    found = Truncation(spark.createDataFrame([], "label long, raw string, src string"), "label", "raw", "src")
+    assert found.rows.count() == found.rates().count() == 0
+    found = Truncation(spark.createDataFrame([(1, "…", None), (1, "…", None), (2, "\u200b", "s")], "label long, raw string, src string"), "label", "raw", "src")
+    assert found.rows.count() == 3
+
+
 def test_poisson_tail(spark):
+    head = spark.createDataFrame([(5, 1.0), (1, 3.0), (0, 900.0)], "n long, m double").select(poisson_head("n", "m").alias("p")).collect()
+    assert head[0].p == 1.0 and abs(head[1].p - 0.1991483) < 1e-6 and head[2].p < 1e-200
     row = spark.createDataFrame([(0, 1.0), (3, 1.0), (200, 1.0)], "n long, m double").select(poisson_tail("n", "m").alias("p")).collect()
     assert row[0].p == 1.0 and abs(row[1].p - 0.0803014) < 1e-6 and row[2].p < 1e-200
 
@@ -312,6 +385,15 @@ def test_pack_places_every_item_once(seed):
     assert pack(np.array([], int), np.array([], int), 8) == []
 
 
+def test_the_program_beats_first_fit_and_bounds_it():
+    sizes, counts = np.unique(np.random.default_rng(5).choice([341, 342, 300, 400, 171], 20_000), return_counts=True)
+    found, bound, plain = packing.solved(sizes, counts, 1024)
+    load = containers_of(found.rows, dict(zip(sizes.tolist(), counts.tolist())), 1024)
+    assert -(-int((sizes * counts).sum()) // 1024) < bound <= len(load) == found.n < plain
+    few = packing.solved(np.array([3, 5]), np.array([1, 2]), 8)
+    assert few[0].n == few[1] == 2
+
+
 def test_knapsack_against_brute_force():
     sizes, price = np.array([3, 5, 7]), np.array([3.1, 5.6, 7.4])
     pattern = packing.best_pattern(sizes, price, 20)
@@ -367,8 +449,49 @@ def test_leaks_against_brute_force(spark):
 
 
 def test_common_subsequence():
-    a, b = np.array([[1, 2, 3, 4, 0]], np.uint64), np.array([[2, 9, 4, 3, 0]], np.uint64)
-    assert common_subsequence(a, b).tolist() == [2]
+    a, b = np.array([1, 2, 3, 4], np.uint64), np.array([2, 9, 4, 3], np.uint64)
+    assert common_subsequence(a, b) == 2 and common_subsequence(a, b[:0]) == 0
+
+
+def test_candidates_of_edited_and_reordered_items(spark):
+    rng = random.Random(23)
+    common = [f"c{k}" for k in range(60)]
+    word = lambda: rng.choice(common if rng.random() < 0.5 else VOCABULARY)
+    items = [(k, " ".join(word() for _ in range(rng.randrange(34, 120)))) for k in range(60)]
+    docs, rows = [], 0
+    for k in range(600):
+        w = rng.choice(items)[1].split()
+        if k % 3 == 0:
+            w = [x if j % 9 else word() for j, x in enumerate(w, 1)]
+        elif k % 3 == 1:
+            units = [w[j : j + 8] for j in range(0, len(w), 8)]
+            rng.shuffle(units)
+            w = [x for u in units for x in u]
+        else:
+            n = int(len(w) * 0.5)
+            w = w[(at := rng.randrange(len(w) - n)) : at + n]
+        around = [word() for _ in range(rng.randrange(200))]
+        at = rng.randrange(len(around) + 1)
+        docs.append((k, " ".join(around[:at] + w + around[at:])))
+    found = leaks(spark.createDataFrame(docs, "doc long, body string"), spark.createDataFrame(items, "item long, body string"), "doc", "body", "item", "body").collect()
+    got = {(r.doc_id, r.item_id) for r in found if r.kind != "paraphrase"}
+    sets = [(i, grams(x, 5)) for i, x in items]
+    want = {(d, i) for d, t in docs for own in [grams(t, 5)] for i, g in sets if len(g & own) >= 0.4 * len(g)}
+    assert not got - want and len(got) >= 0.99 * len(want) and len(want) > 500
+
+
+def test_item_index_finds_what_a_full_search_does():
+    from lexigrid.llm.leakage import FEATURES, RANK, ItemIndex, unit
+
+    rng = np.random.default_rng(9)
+    words = [f"v{k}" for k in range(500)]
+    index = ItemIndex(list(range(80)), [" ".join(rng.choice(words, 50)) for _ in range(80)], 5, rng.standard_normal((FEATURES, RANK)).astype(np.float32))
+    asked = unit(index.vectors + 0.05 * rng.standard_normal(index.vectors.shape).astype(np.float32))
+    row, item, score = index.near(asked, 0.2, 0.8)
+    full = {(r, int(i)) for r, k in zip(*np.nonzero(asked @ index.vectors.T >= 0.8)) for i in [index.of[k]]}
+    got = set(zip(row.tolist(), item.tolist()))
+    assert got <= full and len(got) >= 0.97 * len(full) and (score >= 0.8).all()
+    assert all(len(x) == 0 for x in index.near(asked[:0], 0.2, 0.5))
 
 
 # 8 abusive content
