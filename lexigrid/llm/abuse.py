@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.functions.text import mix64
 from lexigrid.llm.shingles import slices
 from lexigrid.llm.sums import SCHEMA, pieces, tree_sum
 from lexigrid.session import scratch, spread
@@ -29,6 +28,8 @@ from lexigrid.session import scratch, spread
 ORDERS = (3, 4, 5)
 BITS = 20
 BUCKETS = 1 << BITS
+#: A factor for the n-grams of each order, whose products' first bits are their buckets.
+_ODD = np.random.default_rng(31).integers(2**62, 2**63, max(ORDERS) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNKS = 64
 _ROWS = 250
 #: Parts of the sample; fixed, so that a model doesn't depend on the cluster.
@@ -119,7 +120,7 @@ def sentence_features(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         rolled = rolled[: len(codes) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :]
         if n in ORDERS:
             inside = owner[: len(rolled)] == owner[n - 1 :]
-            buckets.append((mix64(rolled[inside] + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int32))
+            buckets.append((rolled[inside] * _ODD[n] >> np.uint64(64 - BITS)).astype(np.int32))
             owners.append(owner[: len(rolled)][inside])
     if not buckets:
         return np.empty(0, np.int32), np.empty(0, np.int64)
@@ -348,7 +349,7 @@ class Bag:
         sent = self.rows.sparkSession.sparkContext.broadcast(models)
 
         def step(part: Part) -> list[tuple]:
-            return [(k, part.worst(m).astype(np.float32).tobytes()) for k, m in enumerate(sent.value)]
+            return [(k, worst(z, part.doc, part.n_docs).astype(np.float32).tobytes()) for k, z in enumerate(part.logits(sent.value))]
 
         rows = self.run(step, "model int, score binary")
         return np.array([np.frombuffer(b"".join(r.score for r in rows if r.model == k), np.float32) for k in range(len(models))])
@@ -361,13 +362,28 @@ class Part:
         docs, self.size, self.bucket, self.fold, bad = (np.frombuffer(getattr(row, c), np.int32) for c in ("docs", "lengths", "buckets", "fold", "bad"))
         self.n_docs, self.bad = len(docs), bad > 0
         self.doc = np.repeat(np.arange(len(docs)), docs)
-        self.owner = np.repeat(np.arange(len(self.size)), self.size)
 
-    def logits(self, turn: Turn) -> np.ndarray:
-        return turn.logits(turn.dense(), self.bucket, self.owner, self.size)
-
-    def worst(self, turn: Turn) -> np.ndarray:
-        return worst(self.logits(turn), self.doc, self.n_docs)
+    def logits(self, turns: list[Turn]) -> np.ndarray:
+        """Scores of all sentences, a row for each model."""
+        weight = np.zeros((BUCKETS, len(turns)), np.float32)
+        for k, t in enumerate(turns):
+            weight[t.index, k] = t.value
+        out = np.zeros((len(self.size), len(turns)))
+        some = np.flatnonzero(self.size)
+        if len(some):
+            edges = np.cumsum(self.size) - self.size
+            out[some] = np.add.reduceat(weight[self.bucket], edges[some], axis=0)
+        for k, t in enumerate(turns):
+            out[:, k] += t.bias
+            if t.by_length:
+                out[:, k] /= np.sqrt(np.maximum(self.size, 1))
+        return out.T
+
+    def useful(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """N-grams that have a place, and the sentence of each."""
+        at = place[self.bucket]
+        some = at >= 0
+        return at[some], np.repeat(np.arange(len(self.size)), self.size)[some]
 
 
 class Weights:
@@ -377,20 +393,18 @@ class Weights:
         self.v, self.speed, self.bias, self.speed_b = np.full(n, 0.1, np.float32), np.full(n, 1e-3, np.float32), -1.0, 1e-3
 
 
-def local_steps(part: Part, turn: Turn, fold_out: int, first: bool, place: np.ndarray, ratio: np.ndarray, w: Weights, full: bool, seed: int, epochs: int, l2: float = 3e-4, batch: int = 64) -> tuple:
+def local_steps(part: Part, turn: Turn, z: np.ndarray, useful: tuple[np.ndarray, np.ndarray], fold_out: int, first: bool, ratio: np.ndarray, w: Weights, full: bool, seed: int, epochs: int, l2: float = 3e-4, batch: int = 128) -> tuple:
     """Logistic regression on a part's features times their ratios, by adaptive gradient steps.
 
     Gives the n-grams that were moved, how often, where to, and the squares of their slopes;
     the bias, its squares and the steps taken.
     """
-    z = part.logits(turn)
     used, bad = (part.fold != fold_out)[part.doc], part.bad[part.doc]
     target = bad & turn.positive(z, part.doc, part.n_docs)
     rows = np.flatnonzero(used & (target | (~bad & ((z < 2 * abs(turn.least) + turn.least) | first))))
-    # only n-grams of these sentences that have a ratio
-    at = place[part.bucket]
-    some = (at >= 0) & (ratio[np.maximum(at, 0)] != 0)
-    feature, owner = at[some], part.owner[some]
+    feature, owner = useful
+    some = ratio[feature] != 0
+    feature, owner = feature[some], owner[some]
     edge = np.searchsorted(owner, np.arange(len(part.size) + 1))
     v, speed, bias, speed_b, steps = w.v.copy(), w.speed.copy(), w.bias, w.speed_b, 0
     moved = np.zeros(len(v), np.float32)
@@ -442,7 +456,7 @@ def averaged(w: Weights, rows: list) -> Weights:
     return out
 
 
-def fitted(labelled: DataFrame, bag: Bag, starts: list[np.ndarray], corpus: np.ndarray, n_corpus: int, rounds: int = 5, passes: int = 2, epochs: int = 3) -> list[Turn]:
+def fitted(labelled: DataFrame, bag: Bag, starts: list[np.ndarray], corpus: np.ndarray, n_corpus: int, rounds: int = 4, passes: int = 1, epochs: int = 4) -> list[Turn]:
     """Find the offending sentences of offending documents and fit on them, in turns; model ``k`` leaves fold ``k`` out.
 
     Sentences of offending documents are positive when they score above nearly all harmless
@@ -468,7 +482,8 @@ def fitted(labelled: DataFrame, bag: Bag, starts: list[np.ndarray], corpus: np.n
                 models, useful, ratios, weights = sent.value
                 place = np.full(BUCKETS, -1, np.int32)
                 place[useful] = np.arange(len(useful))
-                return [(j, *local_steps(part, m, j, k == 0, place, ratios[j], weights[j], turn == 0, 100 * k + turn, epochs)) for j, m in enumerate(models)]
+                z, own = part.logits(models), part.useful(place)
+                return [(j, *local_steps(part, m, z[j], own, j, k == 0, ratios[j], weights[j], turn == 0, 100 * k + turn, epochs)) for j, m in enumerate(models)]
 
             rows = bag.run(step, "model int, at binary, moved binary, v binary, speed binary, bias double, speed_b double, steps int")
             weights = [averaged(w, [r for r in rows if r.model == j]) for j, w in enumerate(weights)]

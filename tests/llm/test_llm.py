@@ -269,7 +269,8 @@ def answers(rng, n):
     prose = lambda k: " ".join(f"The {word()} of {word()}, not {word()}, was {word()}." for _ in range(k))
     out = []
     for _ in range(n):
-        items = [f'{{"a": {{"t": "{word()}{rng.choice(" .")} {word()}"}}, "w": 0.{rng.randrange(10)}}}' for _ in range(rng.randrange(1, 6))]
+        items = [f'{{"a": {{"t": "{word()}{rng.choice(["", ".", " ]"])} {word()}{rng.choice(["", "", "."])}"}}, "w": 0.{rng.randrange(10)}}}' for _ in range(rng.randrange(1, 6))]
+        items += [f'{{"b": "{word()}{rng.choice([".", " ]"])} {word()}{rng.choice(["", "."])}"}}']
         whole = "[" + ", ".join(items) + "]"
         records = "\n##\n".join(f'("entity"<|>{word()}<|>geo<|>{prose(1)})' for _ in range(rng.randrange(1, 5)))
         out.append(rng.choice([
