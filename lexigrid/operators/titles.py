@@ -6,9 +6,12 @@ import re
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lexigrid.functions import rules
+
 # Legal forms at the end of a company's name.
 COMPANY = "inc incorporated ltd limited llc llp plc corp corporation co company gmbh ag sa srl bv nv oy ab pty".split()
 _OTHER = re.compile(r"[\W_]+")
@@ -37,3 +40,11 @@ def folded_key(titles: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def company_key(titles: pd.Series) -> pd.Series:
     return titles.map(lambda t: fold_company(t if isinstance(t, str) else None))
+
+
+def key(text: Column) -> Column:
+    """Comparison key of a title or passage: NFKC, lower case, runs of other than letters and numbers to a blank.
+
+    Texts of ASCII alone are folded by the JVM; only others go to Python.
+    """
+    return F.coalesce(folded_key(F.when(~text.rlike(r"\A[\x00-\x7f]*\z"), text)), rules.key(text))

@@ -16,6 +16,19 @@ def _unit(rows: list) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best scores of each row with their ids, ties by the lesser id; only what reaches the k-th best is sorted."""
+    if score.shape[1] > 4 * k:
+        least = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+        some = score >= least[:, None]
+        width = int(some.sum(axis=1).max())
+        place = np.argsort(~some, axis=1, kind="stable")[:, :width]
+        score = np.where(np.take_along_axis(some, place, 1), np.take_along_axis(score, place, 1), -np.inf)
+        ids = np.take_along_axis(ids, place, 1)
+    order = np.lexsort((ids, -score), axis=1)[:, :k]
+    return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int, block: int = 2000) -> DataFrame:
     """``(query_id, id, cosine, rank)``: the ``k`` vectors of greatest cosine to each query, itself left out.
 
@@ -41,10 +54,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str
                 own = batch.column("id").to_numpy()
                 score = asked @ _unit(batch.column("v").to_pylist()).T
                 score[ids[:, None] == own[None, :]] = -np.inf
-                kept = np.concatenate([kept, score], axis=1)
-                kept_id = np.concatenate([kept_id, np.broadcast_to(own, score.shape)], axis=1)
-                order = np.lexsort((kept_id, -kept), axis=1)[:, :k]
-                kept, kept_id = np.take_along_axis(kept, order, 1), np.take_along_axis(kept_id, order, 1)
+                kept, kept_id = _best(np.concatenate([kept, score], axis=1), np.concatenate([kept_id, np.broadcast_to(own, score.shape)], axis=1), k)
             found = np.isfinite(kept)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(ids, found.sum(axis=1))), pa.array(kept_id[found]), pa.array(kept[found])], ["query_id", "id", "cosine"]

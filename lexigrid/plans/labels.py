@@ -10,7 +10,10 @@ from lexigrid.operators import keep
 from lexigrid.operators import spans
 from lexigrid.operators.records import graph_records, parsed_answers
 from lexigrid.plans.corpus import squeezed
+from lexigrid.operators.titles import key
 from lexigrid.plans.registry import query
+from lexigrid.plans.sqltext import RECORDS
+from lexigrid.plans.sqltext import key as key_sql
 from lexigrid.session import table
 
 # Relation types of the closed vocabulary.
@@ -19,7 +22,6 @@ RELATIONS = (
     "founded_by", "developed_by", "defined_as", "consists_of", "is_type_of", "based_on", "used_for", "created_by", "located_in", "predecessor_of",
 )
 _VOCABULARY = ", ".join(f"'{r}'" for r in RELATIONS)
-KEY = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
 TRIPLES = """select label_id, id, status, text, i - 1 as pos, t.source.title as s, t.source.type as st, t.relation.type as r, t.relation.weight as w, t.target.title as t, t.target.type as tt
   from (select label_id, id, status, text, unnest(triplets) as t, generate_subscripts(triplets, 1) as i from report)"""
@@ -91,33 +93,33 @@ def weight_anchor(spark, d):
     return triples(table(spark, d, "report")).groupBy(F.col("r").alias("relation")).agg(F.count("*").alias("n"), F.count_if(off).alias("off_anchor"))
 
 
-@query(rf"""with x as (select label_id, {KEY.format('text')} as p, {KEY.format('s')} as s, {KEY.format('t')} as t from ({TRIPLES}))
+@query(rf"""with x as (select label_id, {key_sql('text')} as p, {key_sql('s')} as s, {key_sql('t')} as t from ({TRIPLES}))
   select label_id, count(*) as n, count(*) filter (s <> '' and not contains(p, s)) as bad_sources, count(*) filter (t <> '' and not contains(p, t)) as bad_targets from x where p is not null group by 1""")
 def grounding_check(spark, d):
     """End points whose key doesn't stand in the passage's; empty keys are passed over."""
-    rows = table(spark, d, "report").where("text is not null").withColumn("text", rules.key(F.col("text")))
-    keyed = triples(rows).withColumns({"s": rules.key(F.col("s")), "t": rules.key(F.col("t"))})
+    rows = table(spark, d, "report").where("text is not null").withColumn("text", key(F.col("text")))
+    keyed = triples(rows).withColumns({"s": key(F.col("s")), "t": key(F.col("t"))})
     absent = lambda c: (F.col(c) != "") & ~F.contains(F.col("text"), F.col(c))
     return keyed.groupBy("label_id").agg(F.count("*").alias("n"), F.count_if(absent("s")).alias("bad_sources"), F.count_if(absent("t")).alias("bad_targets"))
 
 
-@query(rf"""with x as (select {KEY.format('text')} as p, {KEY.format('s')} as s, {KEY.format('t')} as t, r from ({TRIPLES}))
+@query(rf"""with x as (select {key_sql('text')} as p, {key_sql('s')} as s, {key_sql('t')} as t, r from ({TRIPLES}))
   select case when s = t then 'self_loop' when r is null or r not in ({_VOCABULARY}) then 'relation' when contains(p, s) and contains(p, t) then 'grounded' else 'ungrounded' end as class,
   count(*) as n from x where p is not null group by 1""")
 def hallucination_classes(spark, d):
     """Triplets by the first class that holds: self-loop, unknown relation, grounded, ungrounded."""
-    rows = table(spark, d, "report").where("text is not null").withColumn("text", rules.key(F.col("text")))
-    keyed = triples(rows).withColumns({"s": rules.key(F.col("s")), "t": rules.key(F.col("t"))})
+    rows = table(spark, d, "report").where("text is not null").withColumn("text", key(F.col("text")))
+    keyed = triples(rows).withColumns({"s": key(F.col("s")), "t": key(F.col("t"))})
     both = F.contains(F.col("text"), F.col("s")) & F.contains(F.col("text"), F.col("t"))
     kind = F.when(F.col("s") == F.col("t"), "self_loop").when(F.col("r").isNull() | ~F.col("r").isin(*RELATIONS), "relation").when(both, "grounded").otherwise("ungrounded")
     return keyed.groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
 
 
-@query(rf"select r as relation, count(*) as n from ({TRIPLES}) where status = 'ok' and r not in ({_VOCABULARY}) and contains({KEY.format('text')}, {KEY.format('s')}) and contains({KEY.format('text')}, {KEY.format('t')}) group by 1")
+@query(rf"select r as relation, count(*) as n from ({TRIPLES}) where status = 'ok' and r not in ({_VOCABULARY}) and contains({key_sql('text')}, {key_sql('s')}) and contains({key_sql('text')}, {key_sql('t')}) group by 1")
 def vocabulary_gap(spark, d):
     """Relations outside the vocabulary of grounded triplets in good rows."""
-    rows = table(spark, d, "report").where("status = 'ok'").withColumn("text", rules.key(F.col("text")))
-    found = triples(rows).where(~F.col("r").isin(*RELATIONS) & F.contains(F.col("text"), rules.key(F.col("s"))) & F.contains(F.col("text"), rules.key(F.col("t"))))
+    rows = table(spark, d, "report").where("status = 'ok'").withColumn("text", key(F.col("text")))
+    found = triples(rows).where(~F.col("r").isin(*RELATIONS) & F.contains(F.col("text"), key(F.col("s"))) & F.contains(F.col("text"), key(F.col("t"))))
     return found.groupBy(F.col("r").alias("relation")).agg(F.count("*").alias("n"))
 
 
@@ -135,20 +137,20 @@ def resume_antijoin(spark, d):
 
 
 @query(rf"""select id, k as entity, n, title from (select id, k, count(*) over (partition by id, k) as n, title, row_number() over (partition by id, k order by len(title) desc, label_id, pos, side) as p
-  from (select id, label_id, pos, 0 as side, s as title, {KEY.format('s')} as k from ({TRIPLES}) union all select id, label_id, pos, 1, t, {KEY.format('t')} from ({TRIPLES})) where k <> '') where p = 1""")
+  from (select id, label_id, pos, 0 as side, s as title, {key_sql('s')} as k from ({TRIPLES}) union all select id, label_id, pos, 1, t, {key_sql('t')} from ({TRIPLES})) where k <> '') where p = 1""")
 def longest_title_dedup(spark, d):
     """Entities of a passage by key, each with its longest spelling, the first of the longest."""
     x = triples(table(spark, d, "report"))
-    both = x.select("id", "label_id", "pos", F.expr("inline(array(struct(0 as side, s as title), struct(1 as side, t as title)))")).withColumn("entity", rules.key(F.col("title"))).where("entity <> ''")
+    both = x.select("id", "label_id", "pos", F.expr("inline(array(struct(0 as side, s as title), struct(1 as side, t as title)))")).withColumn("entity", key(F.col("title"))).where("entity <> ''")
     best = F.min_by("title", F.struct(-F.length("title"), "label_id", "pos", "side"))
     return both.groupBy("id", "entity").agg(F.count("*").alias("n"), best.alias("title"))
 
 
-@query(rf"""with x as (select label_id, pos, {KEY.format('s')} as s, r, {KEY.format('t')} as t from ({TRIPLES}))
+@query(rf"""with x as (select label_id, pos, {key_sql('s')} as s, r, {key_sql('t')} as t from ({TRIPLES}))
   select label_id, count(*) as n, count(*) filter (s = t) as self_loops, count(*) filter (p > 1) as duplicates from (select *, row_number() over (partition by label_id, s, r, t order by pos) as p from x) group by 1""")
 def redundancy_report(spark, d):
     """Self-loops and repeated edges per label row."""
-    x = triples(table(spark, d, "report")).select("label_id", rules.key(F.col("s")).alias("s"), "r", rules.key(F.col("t")).alias("t"))
+    x = triples(table(spark, d, "report")).select("label_id", key(F.col("s")).alias("s"), "r", key(F.col("t")).alias("t"))
     edges = x.groupBy("label_id", "s", "r", "t").agg(F.count("*").alias("n"))
     return edges.groupBy("label_id").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("s") == F.col("t"), F.col("n"))), F.lit(0)).alias("self_loops"), F.sum(F.col("n") - 1).alias("duplicates"))
 
@@ -184,12 +186,19 @@ def parse_answers(spark, d):
     return parsed_answers(table(spark, d, "report"), "label_id", "teacher_raw").groupBy("outcome").agg(F.count("*").alias("n"), F.sum(F.size("items")).alias("n_items"))
 
 
-@query()
+@query(rf"""with {RECORDS}, e as (select label_id, count(*) as n, md5(string_agg(title || chr(2) || type || chr(2) || description, chr(3) order by pos)) as d from ent group by 1),
+  r as (select label_id, count(*) as n, md5(string_agg(source || chr(2) || target || chr(2) || description, chr(3) order by pos)) as d, sum(cast(round(strength * 1000) as bigint))::bigint as s from rel group by 1)
+  select c.label_id, e.n as n_entities, e.d as entities_md5, case when e.n is not null then coalesce(r.n, 0) end as n_relationships, case when e.n is not null then coalesce(r.d, md5('')) end as relationships_md5,
+  case when e.n is not null then coalesce(r.s, 0) end as strength from cut c left join e on c.label_id = e.label_id left join r on c.label_id = r.label_id""")
 def parse_graph_records(spark, d):
-    """Tuple records of raw answers: entities and relationships per row; null where there is no entity."""
-    return graph_records(table(spark, d, "report").where(F.contains("teacher_raw", F.lit("<|>"))), "label_id", "teacher_raw").select(
-        "label_id", F.size("entities").alias("n_entities"), F.size("relationships").alias("n_relationships"),
-        F.expr("aggregate(relationships, 0d, (a, x) -> a + x.strength)").alias("strength"),
+    """Tuple records of raw answers: entities and relationships per row with digests of their fields; null where there is no entity."""
+    rows = graph_records(table(spark, d, "report").where(F.contains("teacher_raw", F.lit("<|>"))), "label_id", "teacher_raw")
+    digest = lambda name, fields: F.md5(F.array_join(F.transform(name, lambda x: F.concat_ws("\2", *[x[f] for f in fields])), "\3"))
+    size = lambda name: F.when(F.col(name).isNotNull(), F.size(name)).cast("long")
+    return rows.select(
+        "label_id", size("entities").alias("n_entities"), digest("entities", ("title", "type", "description")).alias("entities_md5"),
+        size("relationships").alias("n_relationships"), digest("relationships", ("source", "target", "description")).alias("relationships_md5"),
+        F.expr("aggregate(relationships, 0L, (a, x) -> a + cast(round(x.strength * 1000) as long))").alias("strength"),
     )
 
 
@@ -205,14 +214,18 @@ def chat_render(spark, d):
     return rows.select("label_id", rules.chat(F.lit("Extract the relations."), F.col("text"), F.col("teacher_raw")).alias("rendered"))
 
 
-@query("""select label_id, least(n, 200) - least(n, p, 200) as n_active, least(n, p, 200) as n_masked from (select label_id, len(string_split(text, ' ')) as p, len(string_split(text || ' ' || teacher_raw, ' ')) as n
+# Fixed value: tokens of a training row.
+CUTOFF = 6144
+
+
+@query(f"""select label_id, least(n, {CUTOFF}) - least(n, p, {CUTOFF}) as n_active, least(n, p, {CUTOFF}) as n_masked from (select label_id, len(string_split(text, ' ')) as p, len(string_split(text || ' ' || teacher_raw, ' ')) as n
   from report where text is not null and teacher_raw is not null)""")
 def response_mask(spark, d):
-    """Labels of a row's tokens: the prompt's are -100, cut at 200; how many remain active."""
+    """Labels of a row's blank-separated words: the prompt's are -100, cut at ``CUTOFF``; how many remain active (0: masked whole)."""
     rows = table(spark, d, "report").where("text is not null and teacher_raw is not null")
     n_prompt = F.size(F.split("text", " "))
-    answer = F.slice(F.split(F.concat_ws(" ", "text", "teacher_raw"), " "), n_prompt + 1, 200)
-    labels = F.slice(F.concat(F.array_repeat(F.lit(-100), n_prompt), F.transform(answer, F.length)), 1, 200)
+    answer = F.slice(F.split(F.concat_ws(" ", "text", "teacher_raw"), " "), n_prompt + 1, CUTOFF)
+    labels = F.slice(F.concat(F.array_repeat(F.lit(-100), n_prompt), F.transform(answer, F.length)), 1, CUTOFF)
     active = F.size(F.filter(labels, lambda x: x != -100))
     return rows.select("label_id", active.cast("long").alias("n_active"), (F.size(labels) - active).cast("long").alias("n_masked"))
 
@@ -250,9 +263,4 @@ def training_rows(spark, d):
 @query()
 def field_token_counts(spark, d):
     """Words of answers by the field of the list that they stand in, ``outside`` for those beside it, and the tenth of the answer."""
-    rows = table(spark, d, "report").where("teacher_raw is not null")
-    words = spans.word_places(rows, "label_id", "teacher_raw")
-    sizes = words.groupBy("id").agg(F.count("*").alias("n"))
-    marked = spans.labelled_tokens(words, spans.field_spans(rows, "label_id", "teacher_raw")).join(sizes, "id").join(spans.list_places(rows, "label_id", "teacher_raw"), "id")
-    field = F.when(F.expr("(start + end - 1) div 2 between first and last - 1"), F.col("field")).otherwise("outside").alias("field")
-    return marked.groupBy(field, F.least(F.floor(F.col("number") * 10 / F.col("n")), F.lit(9)).alias("tenth")).agg(F.count("*").alias("n_words"))
+    return spans.field_tenths(table(spark, d, "report").where("teacher_raw is not null"), "teacher_raw")

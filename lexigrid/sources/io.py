@@ -38,6 +38,49 @@ def read_lines(spark: SparkSession, paths: list[str], schema: str, strict: bool
     return rows.where("_bad is null").drop("_bad")
 
 
+def first_existing(spark: SparkSession, paths: list[str]) -> str:
+    """The first of the paths that exists; an error if none does."""
+    found = existing(spark, paths)
+    if not found:
+        raise FileNotFoundError(", ".join(paths))
+    return found[0]
+
+
+def read_from(spark: SparkSession, path: str, schema: str, skip: int) -> DataFrame:
+    """JSON lines of a path, the first ``skip`` left out."""
+    return read_lines(spark, [path], schema).offset(skip)
+
+
+def listed(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with null lists of a column as empty ones."""
+    return df.withColumn(column, F.coalesce(F.col(column), F.array().cast(df.schema[column].dataType)))
+
+
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """``(id, left_place, right_place)`` of stored pairings; rows that failed have none."""
+    rows = spark.read.schema("id string, pairs array<array<int>>").json(path)
+    return rows.select("id", F.explode("pairs").alias("p")).select("id", F.get("p", 0).alias("left_place"), F.get("p", 1).alias("right_place"))
+
+
+def write_report(summary: DataFrame, rows: DataFrame, path: str) -> None:
+    """A report's one row of totals and its rows, as JSON lines under ``summary`` and ``rows``."""
+    if len(summary.take(2)) != 1:
+        raise ValueError("a summary has one row")
+    summary.write.mode("overwrite").json(f"{path}/summary")
+    rows.write.mode("overwrite").json(f"{path}/rows")
+
+
+def write_counts(df: DataFrame, id_col: str, columns: list[str], path: str) -> None:
+    """CSV with how many members each list has; null lists have none."""
+    sizes = [F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).alias(c) for c in columns]
+    df.select(id_col, *sizes).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_requests(df: DataFrame, line: str, path: str) -> None:
+    """A request file: one JSON line a row."""
+    df.select(F.col(line).alias("value")).write.mode("overwrite").text(path)
+
+
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
     """``(id, split)`` from one JSON document with an array of ids per split."""
     row = spark.read.schema(SPLIT_MANIFEST).option("multiLine", "true").json(path)
@@ -48,9 +91,10 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
 
 def read_batch_responses(spark: SparkSession, path: str) -> DataFrame:
     """``(custom_id, content)``: the last line of each id wins, missing content is empty."""
+    # a line's place: its file, the block of it, and the order within the block that one task reads
     rows = spark.read.schema(BATCH_RESPONSE).json(path).select(
         "custom_id", F.coalesce(F.try_element_at("response.body.choices.message.content", F.lit(1)), F.lit("")).alias("content"),
-        F.struct(F.input_file_name(), F.monotonically_increasing_id()).alias("place"),
+        F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"),
     )
     return keep_last(rows, ["custom_id"], [F.col("place")]).select("custom_id", "content")
 

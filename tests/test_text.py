@@ -4,12 +4,13 @@ import unicodedata
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lexigrid.functions.text import batch_grams, distinct_grams, folded_words, word_hashes, words
 from lexigrid.operators.chunking import pack_sentences, split_sentences
-from lexigrid.operators.linking import assignment, greedy_pairs, lexical_similarity
+from lexigrid.operators.linking import best_matching, greedy_pairs, lexical_similarity
 from lexigrid.operators.minhash import murmur3, shingle_hashes, signature
-from lexigrid.operators.records import parse_answer, parse_records
+from lexigrid.operators.records import graph_records, parse_answer
 
 _RUNS = re.compile(r"[^\W_]+")
 
@@ -72,9 +73,11 @@ def test_signatures_of_short_texts_are_zero():
     assert signature(shingle_hashes("abcdef")).any()
 
 
-def test_greedy_pairs_exact_then_contained():
-    assert greedy_pairs(["bank", "river bank", ""], ["river bank", "bank of"]) == [(1, 0, 2.0), (0, 1, 1 + 4 / 7)]
-    assert greedy_pairs([], ["a"]) == []
+def test_greedy_pairs_exact_then_contained(spark):
+    side = lambda keys: spark.createDataFrame([("p", k, t) for k, t in enumerate(keys)], "id string, place int, key string")
+    pairs = lambda a, b: [tuple(r)[1:] for r in greedy_pairs(side(a), side(b)).orderBy(F.desc("score")).collect()]
+    assert pairs(["bank", "river bank", ""], ["river bank", "bank of"]) == [(1, 0, 2.0), (0, 1, 1 + 4 / 7)]
+    assert pairs([], ["a"]) == []
 
 
 @settings(max_examples=60, deadline=None)
@@ -86,7 +89,7 @@ def test_assignment_is_optimal(n, m, seed):
     small, large = sorted((n, m))
     turned = score if n <= m else score.T
     best = max(sum(turned[i, p[i]] for i in range(small)) for p in permutations(range(large), small))
-    assert abs(sum(score[i, j] for i, j in assignment(score)) - best) < 1e-9
+    assert abs(sum(score[i, j] for i, j in best_matching(score.tolist())) - best) < 1e-9
 
 
 def test_lexical_similarity_ends():
@@ -94,13 +97,14 @@ def test_lexical_similarity_ends():
     assert lexical_similarity("a", "") == 0.0
 
 
-def test_records_without_strength_and_without_entities():
+def test_records_without_strength_and_without_entities(spark):
     text = '("entity"<|>A<|>person<|>first (of two))\n**##**\n("relationship"<|>A<|>B<|>knows<|>12)##("relationship"<|>A<|>B<|>knows)\n<|COMPLETE|>'
-    entities, relationships = parse_records(text)
-    assert [e[0] for e in entities] == ["A"]
-    assert [r[3] for r in relationships] == [10.0, 1.0]
-    assert parse_records('("relationship"<|>A<|>B<|>x<|>2)') is None
-    assert parse_records(None) is None
+    rows = [(0, text), (1, '("relationship"<|>A<|>B<|>x<|>2)'), (2, None)]
+    found = graph_records(spark.createDataFrame(rows, "id int, t string"), "id", "t").orderBy("id").collect()
+    assert [e[0] for e in found[0].entities] == ["A"]
+    assert [r[3] for r in found[0].relationships] == [10.0, 1.0]
+    assert found[1].entities is None
+    assert found[2].entities is None
 
 
 def test_answers_whole_repaired_and_lost():
