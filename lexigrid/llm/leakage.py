@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.functions.text import distinct_grams, word_hashes
+from lexigrid.functions.text import batch_grams, distinct_grams, word_hashes
 from lexigrid.llm.shingles import slices
 from lexigrid.llm.sums import SCHEMA, pieces, tree_sum
 from lexigrid.session import spread
@@ -36,7 +36,9 @@ SHARPNESS = 3
 #: Passages of items that the centroids are fitted on at most; all are indexed.
 FITTED = 20_000
 _CHUNKS = 64
-_ROWS = 500
+_ROWS = 250
+#: Blocks that are summed together.
+_SLICE = 1024
 
 
 def features(hashes: np.ndarray) -> np.ndarray:
@@ -61,11 +63,27 @@ def passages(owner: np.ndarray) -> np.ndarray:
     return np.flatnonzero(~last | only)
 
 
-def passage_vectors(words: np.ndarray, starts: np.ndarray, owner: np.ndarray, first: np.ndarray, weighted: np.ndarray) -> np.ndarray:
+def block_sums(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, weighted: np.ndarray) -> np.ndarray:
+    """Sum of the rows of ``weighted`` over each block's words; its last row, zeros, stands for the words that a block lacks."""
+    out = np.empty((len(starts), weighted.shape[1]), np.float32)
+    words = np.append(words, np.zeros(BLOCK, words.dtype))
+    buffer = np.empty((_SLICE, weighted.shape[1]), np.float32)
+    for low in range(0, len(starts), _SLICE):  # what fits near the processor at a time
+        some, own = starts[low : low + _SLICE], sizes[low : low + _SLICE]
+        total, part = out[low : low + _SLICE], buffer[: len(some)]
+        for k in range(BLOCK):
+            at = np.where(k < own, words[some + k], FEATURES)
+            np.take(weighted, at, axis=0, out=total if k == 0 else part, mode="clip")
+            if k:
+                total += part
+    return out
+
+
+def passage_vectors(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, owner: np.ndarray, first: np.ndarray, weighted: np.ndarray) -> np.ndarray:
     """Latent vectors of the passages: sums over their words of a basis times the words' weights."""
     if not len(words):
         return np.empty((0, weighted.shape[1]), np.float32)
-    sums = np.add.reduceat(weighted[words], starts, axis=0)
+    sums = block_sums(words, starts, sizes, weighted)
     out = sums[first]
     paired = np.flatnonzero(first + 1 < len(owner))
     paired = paired[owner[first[paired]] == owner[first[paired] + 1]]
@@ -73,6 +91,10 @@ def passage_vectors(words: np.ndarray, starts: np.ndarray, owner: np.ndarray, fi
     return out
 
 
+def with_zeros(weighted: np.ndarray) -> np.ndarray:
+    return np.vstack([weighted, np.zeros((1, weighted.shape[1]))]).astype(np.float32)
+
+
 def word_weights(texts: DataFrame) -> np.ndarray:
     """Inverse frequency of each hashed word over the blocks of all texts."""
 
@@ -103,7 +125,7 @@ def latent_basis(texts: DataFrame, weight: np.ndarray, seed: int = 11) -> np.nda
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test, weight = sent.value
-        weighted = test * weight[:, None]
+        weighted = with_zeros(test * weight[:, None])
         total = np.zeros((FEATURES, OVERSAMPLED))
         for part in slices(batches, _ROWS):
             hashes, bounds = word_hashes(part.column("text").to_pylist())
@@ -111,7 +133,7 @@ def latent_basis(texts: DataFrame, weight: np.ndarray, seed: int = 11) -> np.nda
                 continue
             starts, owner = blocks(bounds)
             words, first = features(hashes), passages(owner)
-            vectors = passage_vectors(words, starts, owner, first, weighted)
+            vectors = passage_vectors(words, starts, np.diff(np.append(starts, len(hashes))), owner, first, weighted)
             of_block = np.zeros((len(starts), OVERSAMPLED), np.float32)
             of_block[first] = vectors
             pair = first[(first + 1 < len(owner))]
@@ -182,7 +204,10 @@ class ItemIndex:
         order = np.argsort(cell, kind="stable")
         self.vectors, self.of = vectors[order], of[order]
         self.cells = np.searchsorted(cell[order], np.arange(len(self.centroids) + 1))
-        self.grams, self.gram_bounds = distinct_grams(self.hashes, self.bounds, shingle)
+        grams, bounds = distinct_grams(self.hashes, self.bounds, shingle)
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.gram_item = grams[order], np.repeat(np.arange(len(ids)), np.diff(bounds))[order]
+        self.known, self.n_grams = np.unique(grams), np.diff(bounds)
 
     def near(self, vectors: np.ndarray, probed: float, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs ``(vector, item, cosine)`` of at least that cosine, in the ``probed`` share of the cells nearest to each vector."""
@@ -211,12 +236,12 @@ def candidates(hashes: np.ndarray, bounds: np.ndarray, index: ItemIndex, weighte
     """Candidate pairs of a batch of texts: text, item, best cosine, and the word that the best passage begins with."""
     starts, owner = blocks(bounds)
     first = passages(owner)
-    words, edges = features(hashes), np.append(starts, len(hashes))
+    words, sizes = features(hashes), np.diff(np.append(starts, len(hashes)))
     found = []
-    for low in range(0, len(first), 20_000):  # a part of the passages at a time, however long a text is
-        some = first[low : low + 20_000]
+    for low in range(0, len(first), 4000):  # a part of the passages at a time, however long a text is
+        some = first[low : low + 4000]
         a, b = some[0], min(some[-1] + 2, len(starts))
-        vectors = unit(passage_vectors(words[edges[a] : edges[b]], starts[a:b] - starts[a], owner[a:b], some - a, weighted))
+        vectors = unit(passage_vectors(words[starts[a] : starts[b - 1] + sizes[b - 1]], starts[a:b] - starts[a], sizes[a:b], owner[a:b], some - a, weighted))
         row, item, score = index.near(vectors, probed, cosine)
         found.append((owner[some[row]], item, score, starts[some[row]]))
     if not found:
@@ -229,33 +254,48 @@ def candidates(hashes: np.ndarray, bounds: np.ndarray, index: ItemIndex, weighte
     return doc[best], item[best], score[best], at[best]
 
 
-def checked(hashes: np.ndarray, bounds: np.ndarray, index: ItemIndex, pairs: tuple[np.ndarray, ...], weight: np.ndarray, shingle: int, enough: float, near: float, rare: float) -> tuple[np.ndarray, ...]:
-    """Containment of the item in the document for each candidate; where that isn't ``enough`` and the cosine ``near``, common subsequence and answer words."""
+def checked(hashes: np.ndarray, bounds: np.ndarray, index: ItemIndex, pairs: tuple[np.ndarray, ...], weight: np.ndarray, shingle: int, enough: float, near: float, least: float, rare: float) -> tuple[np.ndarray, ...]:
+    """Containment of the item in the document for each candidate; where that isn't ``enough`` and the cosine ``near``, common subsequence and answer words.
+
+    The latter are left out where too few of the item's words occur for a subsequence of ``least`` of them.
+    """
     doc, item, score, at = pairs
     wanted = np.unique(doc)
     sizes = np.diff(bounds)[wanted]
     word = np.repeat(bounds[:-1][wanted], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    grams, edges = distinct_grams(hashes[word], np.concatenate([[0], np.cumsum(sizes)]), shingle)
-    place = np.searchsorted(wanted, doc)
-    contained, lcs, answer = np.zeros(len(doc)), np.full(len(doc), np.nan), np.full(len(doc), np.nan)
-    for k in range(len(doc)):
-        own = grams[edges[place[k]] : edges[place[k] + 1]]
-        asked = index.grams[index.gram_bounds[item[k]] : index.gram_bounds[item[k] + 1]]
-        if len(own) and len(asked):
-            there = np.minimum(np.searchsorted(own, asked), len(own) - 1)
-            contained[k] = (own[there] == asked).mean()
-        if contained[k] < enough and score[k] >= near:
-            asked = index.hashes[index.bounds[item[k]] : index.bounds[item[k] + 1]]
-            low, high = bounds[doc[k]], bounds[doc[k] + 1]
-            # the item may begin and end anywhere around the passage that met it
-            lcs[k] = common_subsequence(asked, hashes[max(low, at[k] - len(asked)) : min(high, at[k] + PASSAGE + len(asked))]) / len(asked)
-            said = np.unique(asked[weight[features(asked)] >= rare])
-            answer[k] = np.isin(said, hashes[low:high]).mean() if len(said) else np.nan
+    grams, owner = batch_grams(hashes[word], np.concatenate([[0], np.cumsum(sizes)]), shingle)
+    lcs, answer = np.full(len(doc), np.nan), np.full(len(doc), np.nan)
+    # n-grams of candidate documents that any item has, each once, and the candidates among their items
+    known = index.known
+    place = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
+    inside = known[place] == grams if len(known) else np.zeros(len(grams), bool)
+    own = np.unique(owner[inside] * max(len(known), 1) + place[inside])
+    gram = known[own % len(known)] if len(own) else np.empty(0, np.uint64)
+    low, high = np.searchsorted(index.grams, gram), np.searchsorted(index.grams, gram, "right")
+    some = np.repeat(np.arange(len(own)), high - low)
+    there = index.gram_item[low[some] + np.arange(len(some)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)]
+    n = len(index.ids)
+    key = wanted[own[some] // max(len(known), 1)] * n + there
+    pair = doc * n + item  # in ascending order
+    to = np.minimum(np.searchsorted(pair, key), max(len(pair) - 1, 0))
+    shared = np.bincount(to[pair[to] == key] if len(pair) else to[:0], minlength=len(pair))
+    contained = shared / np.maximum(index.n_grams[item], 1)
+    for k in np.flatnonzero((contained < enough) & (score >= near)):
+        asked = index.hashes[index.bounds[item[k]] : index.bounds[item[k] + 1]]
+        low, high = bounds[doc[k]], bounds[doc[k] + 1]
+        # the item may begin and end anywhere around the passage that met it
+        around = hashes[max(low, at[k] - len(asked)) : min(high, at[k] + PASSAGE + len(asked))]
+        there = set(around.tolist())
+        if sum(x in there for x in asked.tolist()) < least * len(asked):
+            continue
+        lcs[k] = common_subsequence(asked, around) / len(asked)
+        said = np.unique(asked[weight[features(asked)] >= rare])
+        answer[k] = np.isin(said, hashes[low:high]).mean() if len(said) else np.nan
     return contained, lcs, answer
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, doc_col: str, text_col: str, item_col: str, item_text_col: str, shingle: int = 5,
-          containment: float = 0.4, cosine: float = 0.65, probed: float = 0.2, near: float = 0.8, lcs: float = 0.6, part_words: int = 1_000_000,
+          containment: float = 0.4, cosine: float = 0.65, probed: float = 0.1, near: float = 0.8, lcs: float = 0.6, part_words: int = 1_000_000,
           rare_share_inverse: float = 100) -> DataFrame:
     """Documents that carry evaluation items, fully or in part.
 
@@ -268,7 +308,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_col: str, text_col: st
     passage, and half of its rare words (in less than one block in ``rare_share_inverse``)
     stand in the document. Documents are scanned once for every ``part_words`` words of items.
 
-    Null and empty texts have no words and match nothing, and so do items of fewer words than
+    ``lcs`` and ``answer`` are null where they weren't looked at. Null and empty texts have no words and match nothing, and so do items of fewer words than
     a shingle (but for paraphrases). Repeated rows give repeated rows. Columns besides the
     named ones are ignored.
     """
@@ -278,7 +318,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_col: str, text_col: st
     spark = documents.sparkSession
     weight = word_weights(texts.select("text"))
     sharp = weight**SHARPNESS
-    weighted = latent_basis(texts.select("text"), sharp) * sharp[:, None]
+    weighted = with_zeros(latent_basis(texts.select("text"), sharp) * sharp[:, None])
     rare = float(np.log(rare_share_inverse))
     schema = "doc_id long, item_id long, cosine float, containment double, lcs double, answer double"
     parts = max(1, -(-(asked.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0) // part_words))
@@ -294,7 +334,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_col: str, text_col: st
             for part in slices(batches, _ROWS):
                 hashes, bounds = word_hashes(part.column("text").to_pylist())
                 pairs = candidates(hashes, bounds, index, weighted, probed, cosine)
-                values = checked(hashes, bounds, index, pairs, weight, shingle, containment, near, rare)
+                values = checked(hashes, bounds, index, pairs, weight, shingle, containment, near, lcs, rare)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").take(pa.array(pairs[0])), pa.array(index.ids[pairs[1]], pa.int64()), pa.array(pairs[2], pa.float32()),
                      *[pa.array(v, pa.float64(), from_pandas=True) for v in values]],
