@@ -32,8 +32,8 @@ BUCKETS = 1 << BITS
 _ODD = np.random.default_rng(31).integers(2**62, 2**63, max(ORDERS) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNKS = 64
 _ROWS = 250
-#: Parts of the sample; fixed, so that a model doesn't depend on the cluster.
-PARTS = 12
+#: Parts of the sample at most, and documents of a part at least; a model doesn't depend on the cluster.
+PARTS, PART_ROWS = 12, 400
 
 # Characters used in place of letters inside words.
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "€": "e"}
@@ -304,7 +304,8 @@ class Bag:
 
     def __init__(self, labelled: DataFrame, sample: int):
         key = F.xxhash64("doc_id")
-        cut = labelled.select(key.alias("key")).orderBy("key").limit(sample).agg(F.max("key")).first()[0]
+        cut, n = labelled.select(key.alias("key")).orderBy("key").limit(sample).agg(F.max("key"), F.count("*")).first()
+        parts = max(1, min(PARTS, n // PART_ROWS))
 
         def gather(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values("doc_id", kind="stable")
@@ -323,7 +324,7 @@ class Bag:
             return pd.DataFrame({"part": group["part"].iloc[:1].to_numpy()} | {name: [c.astype(np.int32).tobytes()] for name, c in columns.items()})
 
         rows = labelled.where(key <= cut) if cut is not None else labelled.limit(0)
-        rows = rows.withColumn("part", F.expr(f"cast(pmod(xxhash64(doc_id, 'part'), {PARTS}) as int)"))
+        rows = rows.withColumn("part", F.expr(f"cast(pmod(xxhash64(doc_id, 'part'), {parts}) as int)"))
         schema = "part int, docs binary, lengths binary, buckets binary, fold binary, bad binary"
         self.rows = scratch(rows.groupBy("part").applyInPandas(gather, schema), "bag")
 
@@ -493,11 +494,11 @@ def fitted(labelled: DataFrame, bag: Bag, starts: list[np.ndarray], corpus: np.n
 
 
 def _best_threshold(score: np.ndarray, y: np.ndarray, weight_of_good: float) -> float:
+    """Least score to flag, by the best F1."""
     order = np.argsort(-score)
     hit = np.cumsum(y[order])
     flagged = hit + weight_of_good * np.cumsum(~y[order])
-    f1 = 2 * hit / (flagged + max(y.sum(), 1))
-    best = int(f1.argmax())
+    best = int((2 * hit / (flagged + max(y.sum(), 1))).argmax())
     following = score[order[best + 1]] if best + 1 < len(y) else score[order[best]] - 1
     return float((score[order[best]] + following) / 2)
 
