@@ -104,10 +104,10 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), 0))
 
 
-def grounded(title_key: Column, passage_key: Column, share: float = 0.6) -> Column:
-    """The title stands in the passage, or ``share`` of its words do."""
+def grounded(title_key: Column, passage_key: Column, share: float = 0.6, passage_words: Column | None = None) -> Column:
+    """The title stands in the passage, or ``share`` of its words do; ``passage_words`` are the passage's, where they are there already."""
     words = tokens(title_key)
-    overlap = F.size(F.array_intersect(words, tokens(passage_key))) >= F.size(words) * F.lit(share)
+    overlap = F.size(F.array_intersect(words, tokens(passage_key) if passage_words is None else passage_words)) >= F.size(words) * F.lit(share)
     return F.contains(passage_key, title_key) | ((F.size(words) > 0) & overlap)
 
 
@@ -133,6 +133,27 @@ def shorten(text: Column, n: int) -> Column:
     return F.when(F.length(flat) > n, F.concat(F.substring(flat, 1, n - 1), F.lit("…"))).otherwise(flat)
 
 
+def relation_text(relation: Column) -> Column:
+    """A relation in words."""
+    return F.trim(F.replace(relation, F.lit("_"), F.lit(" ")))
+
+
+def entry_line(mark: Column, kind: Column, title: Column, description: Column, most: int = 160) -> Column:
+    """An entity as a line of a request; ``most`` characters of its description."""
+    return F.concat(F.lit("["), mark, F.lit("] "), squeeze(kind), F.lit(" '"), squeeze(title), F.lit("' — "), F.substring(squeeze(description), 1, most))
+
+
+def pair_prompt(passage: Column, teacher: Column, student: Column, most: int = 900) -> Column:
+    """A request to judge two entities, given as lines; ``most`` characters of the passage come first, if there is one."""
+    head = F.when(passage != "", F.concat(F.lit("PASSAGE:\n"), F.substring(passage, 1, most), F.lit("\n\n"))).otherwise("")
+    return F.concat(head, F.lit("Entity A (teacher):\n"), teacher, F.lit("\n\nEntity B (student):\n"), student, F.lit("\n\nReturn the JSON object."))
+
+
+def field_similarity(similarity: Column, a: Column, b: Column, least: float = 0.8) -> Column:
+    """1 for equal fields that aren't empty, else the similarity where it reaches ``least``, else 0."""
+    return F.when((a == b) & (a != ""), 1.0).when(similarity >= least, similarity).otherwise(0.0)
+
+
 def chat(instruction: Column, prompt: Column, answer: Column) -> Column:
     """Turns of a chat in ChatML."""
     turn = lambda role, text: F.concat(F.lit(f"<|im_start|>{role}\n"), text, F.lit("<|im_end|>\n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lexigrid.plans import cleaning, corpus, evaluation, extras, graphs, labels, probe  # noqa: F401  (they register their queries)
+from lexigrid.plans import cleaning, corpus, evaluation, extras, graphs, labels, probe, reports  # noqa: F401  (they register their queries)
 from lexigrid.plans.registry import QUERIES, SQL
 
 
