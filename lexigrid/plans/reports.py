@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 from lexigrid.functions import rules
 from lexigrid.functions.text import squeeze
 from lexigrid.operators import harness
-from lexigrid.operators.components import connected_components
 from lexigrid.operators.linking import greedy_pairs
 from lexigrid.operators.titles import COMPANY, company_key, key
 from lexigrid.plans.cleaning import record_defects, records
@@ -329,24 +328,6 @@ def normalized_triplets(spark, d):
     return x.select("label_id", F.col("pos").cast("long").alias("pos"), company_key("s").alias("source"), low("st").alias("source_type"), low("r").alias("relation"), company_key("t").alias("target"), low("tt").alias("target_type"), F.col("s").alias("source_raw"), F.col("t").alias("target_raw"))
 
 
-@query()
-def cluster_anchors(spark, d):
-    """Clusters of two passages or more, linked by concrete entities, with the entities that two or more of them share: ``(cluster, size, anchor, n)``."""
-    titles = triples(table(spark, d, "report").where("id is not null")).where("s is not null and t is not null").select("id", F.explode(F.array(_norm(F.col("s")), _norm(F.col("t")))).alias("title")).distinct()
-    return anchors(titles)
-
-
-def anchors(titles, least: int = 2, most: int = 4):
-    """``(cluster, size, anchor, n)`` from distinct ``(id, title)``: titles that ``least`` to ``most`` passages have link them."""
-    concrete = titles.groupBy("title").agg(F.count("*").alias("n")).where(F.col("n").between(least, most))
-    links = scratch(titles.join(concrete, "title").select("id", F.col("title").alias("anchor"), "n", F.xxhash64("id").alias("node")), "links")
-    found = connected_components(links.select(F.col("node").alias("src"), F.xxhash64(F.lit("title"), "anchor").alias("dst")))
-    placed = links.join(found.select(F.col("id").alias("node"), F.col("component").alias("cluster")), "node")
-    sizes = placed.select("cluster", "node").distinct().groupBy("cluster").agg(F.count("*").alias("size"))
-    shared = placed.groupBy("cluster", "anchor").agg(F.first("n").alias("n"))  # all passages of a title are in one cluster
-    return shared.join(sizes, "cluster").select("cluster", "size", "anchor", "n")
-
-
 def _answers(spark, d):
     """``(id, text, gold, found)``: the triplets of each passage's first and last label row."""
     rows = table(spark, d, "report").where("id is not null")

@@ -5,7 +5,8 @@ import pytest
 
 from lexigrid.operators import harness
 from lexigrid.operators.linking import lexical_similarity
-from lexigrid.plans.reports import anchors, at_share
+from lexigrid.plans.graphs import anchors
+from lexigrid.plans.reports import at_share
 
 T = "struct<id:string,text:string,gold:array<" + harness.TRIPLET + ">,found:array<" + harness.TRIPLET + ">>"
 RELATIONS = ("part_of", "based_on")

@@ -42,6 +42,6 @@ def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["passage_ids", "minhash_dedup", "chunk_stats", "parse_answers", "parse_graph_records", "greedy_title_pairing", "optimal_title_pairing", "graph_components", "passage_clusters", "field_token_counts", "composite_scores", "cluster_anchors", "harness_scores", "harness_summary"])
+@pytest.mark.parametrize("name", ["passage_ids", "minhash_dedup", "chunk_stats", "parse_answers", "parse_graph_records", "greedy_title_pairing", "optimal_title_pairing", "field_token_counts", "composite_scores", "harness_scores", "harness_summary"])
 def test_other_queries_run(spark, name):
     assert entry.queries()[name](spark, DIR).count() > 0

@@ -1,9 +1,10 @@
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrid.operators.labelling import Retryable, label
+from lexigrid.operators.labelling import Retryable, completing, label, within_budget
 from lexigrid.operators.titles import company_key, folded_key
 from lexigrid.sources import io
 
@@ -59,3 +60,25 @@ def test_label_retries_and_resumes(spark):
     done = spark.createDataFrame([(5, "ok"), (1, "failed")], "k long, status string")
     found = {r.k: (r.status, r.reason, r.attempts) for r in label(rows, "k", "p", call, lambda t: [] if t == "[]" else None, 2, done, 2, 2, 0.0).collect()}
     assert found == {1: ("ok", None, 1), 2: ("failed", "network", 2), 3: ("failed", "RuntimeError", 1), 4: ("failed", "schema", 2)}
+
+
+def test_label_counts_progress(spark):
+    progress = spark.sparkContext.accumulator(0)
+    label(spark.range(7).selectExpr("id as k", "'[]' as p"), "k", "p", lambda p: p, lambda t: [], 3, progress=progress).collect()
+    assert progress.value == 7
+
+
+def test_completing_goes_on_until_the_answer_is_no():
+    says = {"ask a": " yes", "more a": "b", "ask a\nb": "No", "ask x": "", "ask z": "y", "more z": "z", "ask z\nz": "Y", "more z\nz": "z", "a": "a", "x": "x", "z": "z"}
+    run = completing(says.__getitem__, lambda p, t: f"ask {t}", lambda p, t: f"more {t}")
+    assert [run(p) for p in "axz"] == ["a\nb", "x", "z\nz\nz"]
+
+
+def test_budget_takes_the_first_in_hash_order(spark):
+    rows = spark.createDataFrame([(k,) for k in [*range(300), None]], "k long")
+    order = sorted(range(300), key=lambda k: hashlib.md5(f"0:{k}".encode()).hexdigest())
+    for most in (0, 1, 77, 300, 301, 500):
+        for bins in (1, 3):
+            found = {r.k for r in within_budget(rows, "k", most, bins).collect()}
+            assert found == set(order[:most]) | ({None} if most > 300 else set())
+    assert within_budget(rows.limit(0), "k", 5).count() == 0
