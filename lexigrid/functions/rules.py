@@ -149,11 +149,6 @@ def pair_prompt(passage: Column, teacher: Column, student: Column, most: int = 9
     return F.concat(head, F.lit("Entity A (teacher):\n"), teacher, F.lit("\n\nEntity B (student):\n"), student, F.lit("\n\nReturn the JSON object."))
 
 
-def field_similarity(similarity: Column, a: Column, b: Column, least: float = 0.8) -> Column:
-    """1 for equal fields that aren't empty, else the similarity where it reaches ``least``, else 0."""
-    return F.when((a == b) & (a != ""), 1.0).when(similarity >= least, similarity).otherwise(0.0)
-
-
 def chat(instruction: Column, prompt: Column, answer: Column) -> Column:
     """Turns of a chat in ChatML."""
     turn = lambda role, text: F.concat(F.lit(f"<|im_start|>{role}\n"), text, F.lit("<|im_end|>\n"))

@@ -72,7 +72,7 @@ def _f1(p: Column, r: Column) -> Column:
 
 
 def scores(passages: DataFrame, relations: tuple[str, ...]) -> DataFrame:
-    """Per row of ``(id, text, gold, found)`` 21 counts and measures, and ``composite``.
+    """Per row of ``(id, text, gold, found)`` 22 counts and measures, and ``composite``.
 
     ``gold`` and ``found`` are arrays of ``TRIPLET`` with normalised titles and lower-case types,
     ``text`` is normalised as titles are; nulls are empty. Items with a null part or a weight out of

@@ -2,7 +2,9 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from lexigrid.functions import rules
 from lexigrid.operators import harness
 from lexigrid.operators.linking import lexical_similarity
 from lexigrid.plans.graphs import anchors
@@ -96,3 +98,17 @@ def test_anchors_agree_with_union_find(spark):
     assert sorted((r["size"], r.anchor, r.n) for r in found) == expected
     assert len({r.cluster for r in found}) == len(clusters)
     assert anchors(spark.createDataFrame([], "id string, title string")).count() == 0
+
+
+def test_request_lines_and_prompts(spark):
+    rows = spark.createDataFrame([("passage text", " Ada \n L", "d" * 200), ("", "B", ""), (None, "C", " x  y ")], "p string, t string, d string")
+    line = rules.entry_line(F.lit("A"), F.lit("person"), F.col("t"), F.col("d"))
+    r = rows.select(line.alias("a"), rules.pair_prompt(F.col("p"), line, F.lit("b"), 7).alias("q")).collect()
+    assert [x.a for x in r] == ["[A] person 'Ada L' — " + "d" * 160, "[A] person 'B' — ", "[A] person 'C' — x y"]
+    assert r[0].q.startswith("PASSAGE:\npassage\n\nEntity A (teacher):\n[A] person") and r[0].q.endswith("\n\nEntity B (student):\nb\n\nReturn the JSON object.")
+    assert r[1].q.startswith("Entity A") and r[2].q.startswith("Entity A")
+
+
+def test_relation_text(spark):
+    rows = spark.createDataFrame([("part_of",), ("_based_on_",), ("",), (None,)], "r string")
+    assert [x[0] for x in rows.select(rules.relation_text(F.col("r"))).collect()] == ["part of", "based on", "", None]
