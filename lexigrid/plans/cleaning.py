@@ -11,7 +11,7 @@ from lexigrid.plans.labels import RELATIONS, TRIPLES, triples
 from lexigrid.plans.registry import query
 from lexigrid.plans.sqltext import RECORDS
 from lexigrid.plans.sqltext import key as key_sql
-from lexigrid.session import table
+from lexigrid.session import scratch, table
 
 # Entity types of records, and of triplets.
 RECORD_TYPES = ("person", "organization", "geo", "event", "concept")
@@ -23,6 +23,7 @@ _JUNK_SQL = r"""regexp_matches(description, '##|\*\*|<\|>|<\|COMPLETE\|>|\("enti
 def records(spark, d):
     """Entities ``(label_id, pos, title, type, description, key)`` and relationships ``(label_id, pos, source, target, description, strength, s, t)`` of all answers with tuple records."""
     rows = table(spark, d, "report").where(F.contains("teacher_raw", F.lit("<|>"))).select("label_id", tuple_records(F.col("teacher_raw")).alias("x"))
+    rows = scratch(rows, "records")  # parsed once for all that is made of them
     entities = rows.select("label_id", F.posexplode("x.entities").alias("pos", "e")).select("label_id", "pos", "e.*")
     relationships = rows.select("label_id", F.posexplode("x.relationships").alias("pos", "r")).select("label_id", "pos", "r.*")
     return entities.withColumn("key", key(F.col("title"))), relationships.withColumn("s", key(F.col("source"))).withColumn("t", key(F.col("target")))
