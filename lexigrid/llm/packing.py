@@ -217,13 +217,14 @@ class Packing:
         self.plan = scratch(
             histogram.repartition(16, "container_kind").groupBy("container_kind").applyInPandas(solve, "size int, low long, high long, per long, first long, container_kind string, bound long, first_fit long"), "plan"
         )
-        # an item meets only the rows of the plan that reach into its part
-        ranges = offsets.join(self.plan, ["container_kind", "size"]).where("low < offset + n and high > offset").select(
+        # an item meets only the rows of the plan that reach into its part. Both joins are merged: the planner takes
+        # a written table for as large as its compressed files, without the rows that explode makes, and would send all pieces to the driver
+        ranges = offsets.join(self.plan.hint("merge"), ["container_kind", "size"]).where("low < offset + n and high > offset").select(
             "container_kind", "size", "salt", "offset", "low", "high", "per", "first"
         )
         self.items = (
             pieces.withColumn("place", F.expr("row_number() over (partition by container_kind, size, salt order by id, piece_no) - 1"))
-            .join(ranges, ["container_kind", "size", "salt"]).withColumn("number", F.expr("offset + place")).where("number >= low and number < high")
+            .join(ranges.hint("merge"), ["container_kind", "size", "salt"]).withColumn("number", F.expr("offset + place")).where("number >= low and number < high")
             .select(
                 "container_kind", F.expr("first + (number - low) div per").alias("container_id"), "id", "piece_no",
                 F.col("first_token").cast("int").alias("first_token"), F.col("size").alias("n_tokens"),

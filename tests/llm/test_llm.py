@@ -425,6 +425,14 @@ def test_packing_of_documents(spark):
     assert Packing(sizes.limit(0), kinds).items.count() == 0
 
 
+def test_packing_sends_no_items_to_the_driver(spark):
+    kinds = spark.createDataFrame([("small", 128), ("large", 512)], "container_kind string, capacity_tokens int")
+    p = Packing(spark.range(2000).selectExpr("id", "cast(id % 300 + 1 as int) as n_tokens"), kinds)
+    assert sum(r.n_tokens for r in p.items.collect()) == 2 * sum(k % 300 + 1 for k in range(2000))
+    plan = p.items._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2  # tables as small as these would be broadcast otherwise
+
+
 # 7 leakage
 
 
