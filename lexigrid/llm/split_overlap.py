@@ -155,7 +155,7 @@ class SplitOverlap:
         )
         texts = self.records.where("digest is not null")
         first = texts.groupBy("digest").agg(F.min("id").alias("rep"))  # joined, so that a class of any size is spread
-        self.members = texts.select("id", "split", "digest").join(first, "digest").select("id", "split", "rep")
+        self.members = scratch(texts.select("id", "split", "digest").join(first, "digest").select("id", "split", "rep"), "members")  # read twelve times
         reps = texts.groupBy("digest").agg(
             F.min("id").alias("id"), F.bool_or(F.expr("split = 'train'")).alias("train"), F.bool_or(F.expr("split <> 'train'")).alias("held")
         )

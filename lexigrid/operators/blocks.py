@@ -59,10 +59,16 @@ def expanded(links: DataFrame, left: DataFrame, right: DataFrame, block: int = B
 
     ``links`` is ``(id_a, id_b, link)``, ``link`` telling links apart; ``left`` is ``(key, a)`` and
     ``right`` ``(key, b)``, the members ``a`` and ``b`` of the classes ``key``.
+
+    Both ends are written first: ``meet`` reads each of its tables three times, and a plan with
+    nine copies of everything takes most of the driver's memory. An end has no more rows than the
+    result has where the classes at its other end have members.
     """
     ends = [
-        meet(links.select(F.col(f"id_{side}").alias("key"), F.col("link").alias("a")), members.select("key", F.col(side).alias("b")), block)
-        .select(F.col("a").alias("key"), F.col("b").alias(side))
+        scratch(
+            meet(links.select(F.col(f"id_{side}").alias("key"), F.col("link").alias("a")), members.select("key", F.col(side).alias("b")), block)
+            .select(F.col("a").alias("key"), F.col("b").alias(side)), "end",
+        )
         for side, members in (("a", left), ("b", right))
     ]
     return meet(*ends, block).withColumnRenamed("key", "link")

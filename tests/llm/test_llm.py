@@ -245,6 +245,14 @@ def test_split_overlap_of_nothing(spark):
     assert SplitOverlap(df, spark.createDataFrame([], "id long, split string"), "doc", "body", "name").pairs.count() == 0
 
 
+def test_split_overlap_plans_stay_small(spark):
+    rows = corpus(7, n=20)
+    df = spark.createDataFrame([(k, t, None) for k, t in rows], "doc long, body string, name string")
+    split = spark.createDataFrame([(k, "test" if k % 2 else "train") for k, _ in rows], "id long, split string")
+    pairs = SplitOverlap(df, split, "doc", "body", "name", 3, 0.5).pairs
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("Join") == 15  # three times what one meeting of two tables takes
+
+
 def test_latest_splits(spark):
     rows = [(1, " VAL ", "2024-01-01"), (1, "train", "2023-01-01"), (1, None, "2025-01-01"), (2, "validation", "2024-01-01"), (None, "test", "2024-01-01")]
     df = spark.createDataFrame(rows, "article_id long, split string, t string").selectExpr("article_id", "split", "cast(t as timestamp) as assigned_at")
