@@ -2,6 +2,7 @@
 
 import random
 import re
+import sys
 import unicodedata
 
 import numpy as np
@@ -520,6 +521,23 @@ def test_disguises_are_undone():
     assert abuse.sentences("", t) == []
 
 
+def test_tokens_are_undone_alike_with_and_without_marks():
+    t = abuse.Tokens()
+    assert abuse.sentences("b a d - a b c d x. y! so a fooool, <br> aa. Bb? e.g. no", t) == [" b a d abcdx y ", " so a fol a b ", " e g ", " no "]
+    assert abuse.sentences("!! \0 \1a\n\n - \n\n\u00e9 \u00e0 l o w?", t) == [" a ", " ealo w "]
+
+
+def test_known_tokens_take_no_step_of_python_each():
+    text, calls, tokens = " ".join(["plain words, it'5 a <b>bold</b> end."] * 500), [], abuse.Tokens()
+    want = abuse.sentences(text, tokens)
+    sys.setprofile(lambda frame, event, what: calls.append(event))
+    try:
+        assert abuse.sentences(text, tokens) == want
+    finally:
+        sys.setprofile(None)
+    assert len(want) == 500 and len(calls) < 100
+
+
 def test_classifier_on_held_out_documents(spark):
     rng = random.Random(12)
     bad = ["you are a filthy zorg", "go away you blasted zorg", "all grumbles are vermin zorgs"]
