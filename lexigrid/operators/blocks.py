@@ -41,17 +41,18 @@ def meet(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(key, a, b)``: every row ``(key, a)`` with every row ``(key, b)`` of the same key.
 
     What a join gives, but a key of many rows on both sides is dealt to tasks by blocks. Null
-    keys meet nothing; repeated rows stay.
+    keys meet nothing; repeated rows stay. All is joined by sorting and merging: the size of
+    compressed files would let the planner send tables of many rows through the driver.
     """
-    sizes = left.groupBy("key").agg(F.count("*").alias("n_a")).join(right.groupBy("key").agg(F.count("*").alias("n_b")), "key")
+    sizes = left.groupBy("key").agg(F.count("*").alias("n_a")).join(right.groupBy("key").agg(F.count("*").alias("n_b")).hint("merge"), "key")
     sizes = sizes.select("key", F.ceil(F.col("n_a") / block).cast("int").alias("many_a"), F.ceil(F.col("n_b") / block).cast("int").alias("many_b"))
-    one = left.join(sizes, "key").select(
+    one = left.join(sizes.hint("merge"), "key").select(
         "key", "a", F.expr("cast(pmod(xxhash64(a), many_a) as int)").alias("lo"), F.explode(F.expr("sequence(0, many_b - 1)")).alias("hi")
     )
-    other = right.join(sizes, "key").select(
+    other = right.join(sizes.hint("merge"), "key").select(
         "key", "b", F.explode(F.expr("sequence(0, many_a - 1)")).alias("lo"), F.expr("cast(pmod(xxhash64(b), many_b) as int)").alias("hi")
     )
-    return one.join(other, ["key", "lo", "hi"]).select("key", "a", "b")
+    return one.join(other.hint("merge"), ["key", "lo", "hi"]).select("key", "a", "b")
 
 
 def expanded(links: DataFrame, left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
